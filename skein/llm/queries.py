@@ -8,6 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .line_quality import line_quality
 from .substring_dedup import substring_dedup
 
 
@@ -22,8 +23,14 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("_id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
+def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_quality(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_line_quality": op3_line_quality,
 }
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
