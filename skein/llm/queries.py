@@ -8,6 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .huffman import read_token_ids, write_token_ids
 from .line_quality import line_quality
 from .substring_dedup import substring_dedup
 
@@ -28,9 +29,17 @@ def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text")
 
 
+def op4_huffman_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = write_token_ids(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return read_token_ids(spark, path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_line_quality": op3_line_quality,
+    "op4_huffman_token_ids": op4_huffman_token_ids,
 }
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
