@@ -25,11 +25,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def size_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of a plan's size; for a scan of files it is their length."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-
-
 def columns_as(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Just the two columns, as _id (long) and _text, whatever else the table holds."""
     return df.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
