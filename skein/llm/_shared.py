@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -28,3 +28,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def columns_as(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Just the two columns, as _id (long) and _text, whatever else the table holds."""
     return df.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
+
+
+def running_before(df: DataFrame, keys: list[str], bucket: str, order: list[str], weight: str, name: str) -> DataFrame:
+    """Add ``name``: the sum of ``weight`` over the earlier rows of the same keys, in order of (bucket, order).
+
+    Sorts within (keys, bucket) only, so no key's rows meet in one task; buckets'
+    totals are summed up by themselves.
+    """
+    inner = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    totals = df.groupBy(*keys, bucket).agg(F.sum(weight).alias("_total")).select(*keys, bucket, F.coalesce(F.sum("_total").over(outer), F.lit(0)).alias("_base"))
+    own = df.withColumn("_inner", F.coalesce(F.sum(weight).over(inner), F.lit(0)))
+    return own.join(totals, [*keys, bucket]).withColumn(name, F.col("_base") + F.col("_inner")).drop("_base", "_inner")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .decontamination import decontaminate
 from .huffman import read_token_ids, write_token_ids
 from .line_quality import line_quality
+from .sharding import shard_documents
 from .substring_dedup import substring_dedup
 
 
@@ -37,6 +38,10 @@ def op4_huffman_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_ids(spark, path)
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(_table(spark, sf_dir, "documents"), shards=40).withColumnRenamed("_id", "doc_id")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(F.col("_id").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -46,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_line_quality": op3_line_quality,
     "op4_huffman_token_ids": op4_huffman_token_ids,
+    "op7_sharding": op7_sharding,
     "op9_decontamination": op9_decontamination,
 }
 
