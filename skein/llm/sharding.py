@@ -53,8 +53,8 @@ def _propagate(cells: DataFrame, shards: int, capacity: int, rounds: int) -> Dat
         open_ = cells.join(free.where("_free > 0"), "_label")
         target = open_.groupBy("_group").agg(F.max_by(F.struct("_label", "_n"), F.struct("_n", F.xxhash64("_group", "_label"), "_label")).alias("_t"), F.sum("_n").alias("_size"))
         wish = cells.join(target, "_group").select("_group", "_label", "_n", F.col("_t._label").alias("_to"), F.col("_t._n").alias("_there"), "_size")
-        # the larger part stays; of equals, only one side moves
-        wish = wish.where("_to <> _label and (_there > _n or (_there = _n and _to < _label))")
+        # the larger part stays; of equals, the target does
+        wish = wish.where("_to <> _label and _there >= _n")
         # groups that can be kept whole go first
         wish = wish.withColumn("_bucket", F.pmod(F.xxhash64("_group"), F.lit(BUCKETS)) + F.when(F.col("_size") * 8 > capacity, BUCKETS).otherwise(0))
         ranked = running_before(wish, ["_to"], "_bucket", ["_group", "_label"], "_n", "_before")
