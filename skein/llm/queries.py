@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .decontamination import decontaminate
 from .huffman import read_token_ids, write_token_ids
+from .language_id import held_out, predict, train
 from .line_quality import line_quality
 from .sharding import shard_documents
 from .substring_dedup import substring_dedup
@@ -38,6 +39,13 @@ def op4_huffman_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_ids(spark, path)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = train(docs.where(~held_out()))
+    found = predict(docs.select("doc_id", "text", held_out().alias("held_out")), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "accepted")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"), shards=40).withColumnRenamed("_id", "doc_id")
 
@@ -51,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_line_quality": op3_line_quality,
     "op4_huffman_token_ids": op4_huffman_token_ids,
+    "op6_language_id": op6_language_id,
     "op7_sharding": op7_sharding,
     "op9_decontamination": op9_decontamination,
 }
