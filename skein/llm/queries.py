@@ -12,6 +12,7 @@ from .decontamination import decontaminate
 from .huffman import read_token_ids, write_token_ids
 from .language_id import held_out, predict, train
 from .line_quality import line_quality
+from .packing import pack_documents
 from .sharding import shard_documents
 from .substring_dedup import substring_dedup
 
@@ -50,6 +51,12 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"), shards=40).withColumnRenamed("_id", "doc_id")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, window=1024)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(F.col("_id").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -61,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_huffman_token_ids": op4_huffman_token_ids,
     "op6_language_id": op6_language_id,
     "op7_sharding": op7_sharding,
+    "op8_packing": op8_packing,
     "op9_decontamination": op9_decontamination,
 }
 
