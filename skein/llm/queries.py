@@ -12,6 +12,7 @@ from .decontamination import decontaminate
 from .huffman import read_token_ids, write_token_ids
 from .language_id import held_out, predict, train
 from .line_quality import line_quality
+from .ngram_join import ngram_components
 from .packing import pack_documents
 from .sharding import shard_documents
 from .substring_dedup import substring_dedup
@@ -40,6 +41,11 @@ def op4_huffman_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_ids(spark, path)
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_components(_table(spark, sf_dir, "documents"), words=5, percent=80)
+    return found.select(F.col("_id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = train(docs.where(~held_out()))
@@ -66,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_line_quality": op3_line_quality,
     "op4_huffman_token_ids": op4_huffman_token_ids,
+    "op5_ngram_join": op5_ngram_join,
     "op6_language_id": op6_language_id,
     "op7_sharding": op7_sharding,
     "op8_packing": op8_packing,
