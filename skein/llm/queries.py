@@ -16,6 +16,7 @@ from .ngram_join import ngram_components
 from .packing import pack_documents
 from .sharding import shard_documents
 from .substring_dedup import substring_dedup
+from .wrapper_induction import extract_pages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +69,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("_id").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op10_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_line_quality": op3_line_quality,
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_sharding": op7_sharding,
     "op8_packing": op8_packing,
     "op9_decontamination": op9_decontamination,
+    "op10_wrapper_induction": op10_wrapper_induction,
 }
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
