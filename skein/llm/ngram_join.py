@@ -45,7 +45,8 @@ from ._text import U64, Words, chunks, mix, shingles, text_buffers
 
 WORDS, PERCENT = 5, 80
 FREQUENT, LOCAL_REPEATS, COMBINE, RARE, STARS, MOST_COMBINED, SALT = 200_000, 3, 2, 64, 4, 1200, 64
-_NO_ID = np.iinfo(np.int64).max
+#: Labels from here on name components of which no member has an id.
+_NO_ID = 1 << 62
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, k: int) -> list[np.ndarray]:
@@ -83,7 +84,7 @@ def _sets(k: int):
                 sets = shingle_sets(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], k)
                 sums = [int(np.bitwise_xor.reduce(mix(s), initial=U64(0)).view(np.int64)) for s in sets]
                 more = [int(np.add.reduce(mix(s ^ U64(0x5851F42D4C957F2D)), initial=U64(0)).view(np.int64)) for s in sets]
-                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], b.column(1)[i:j], pa.array([len(s) for s in sets], pa.int64()), pa.array(sums, pa.int64()), pa.array(more, pa.int64())], ["_rid", "_id", "_n", "_sum", "_more"])
+                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], b.column(1)[i:j], b.column(3)[i:j], pa.array([len(s) for s in sets], pa.int64()), pa.array(sums, pa.int64()), pa.array(more, pa.int64())], ["_rid", "_id", "_row", "_n", "_sum", "_more"])
 
     return run
 
@@ -206,10 +207,12 @@ def components(edges: DataFrame, nodes: DataFrame, key: str, label: str) -> Data
 
 
 def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: _rid (its number), _id, n_shingles, component_id."""
-    base = columns_as(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("_rid"), "_id", F.col("_text"))
-    sets = written(base.mapInArrow(_sets(words), "_rid long, _id long, _n long, _sum long, _more long"), "sets")
-    named = sets.where("_n > 0").withColumn("_name", F.coalesce("_id", F.lit(_NO_ID)))
+    """One row for each row of ``docs``: _id, _row (hash of the text), n_shingles, component_id,
+    and _first (whether it is the one row of its component to keep)."""
+    # row numbers are written down: a later scan could number the rows otherwise
+    base = written(columns_as(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("_rid"), "_id", "_text"), "rows")
+    sets = written(base.select("*", F.xxhash64(F.coalesce("_text", F.lit(""))).alias("_row")).mapInArrow(_sets(words), "_rid long, _id long, _row long, _n long, _sum long, _more long"), "sets")
+    named = sets.where("_n > 0").withColumn("_name", F.coalesce("_id", F.col("_rid") + F.lit(_NO_ID)))
     nodes = named.groupBy("_n", "_sum", "_more").agg(F.min("_name").alias("_label"), F.min_by("_rid", F.struct("_name", "_rid")).alias("_node"))
     nodes = written(nodes, "nodes")
 
@@ -277,6 +280,14 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     combos = opened(combos.join(slim.select("_rid", "_n"), "_rid"))
     joined(verified(rare_pairs.unionByName(across(combos).select("_x", "_y")).distinct()))
 
-    of = nodes.select("_n", "_sum", "_more", F.col("_node").alias("_rid")).join(labels.select("_rid", "_label"), "_rid").drop("_rid")
-    out = sets.join(of, ["_n", "_sum", "_more"], "left")
-    return out.select("_rid", "_id", F.col("_n").alias("n_shingles"), F.when(F.col("_label") == _NO_ID, None).otherwise(F.coalesce("_label", "_id")).alias("component_id"))
+    of = nodes.select("_n", "_sum", "_more", F.col("_node").alias("_rid"), F.col("_label").alias("_name")).join(labels.select("_rid", "_label"), "_rid")
+    # a component's name is that of one of its nodes: the node's row is the one to keep
+    keeper = of.where("_name = _label").groupBy("_label").agg(F.min("_rid").alias("_keep"))
+    out = sets.join(of.select("_n", "_sum", "_more", "_label").join(keeper, "_label"), ["_n", "_sum", "_more"], "left")
+    return out.select(
+        "_id",
+        "_row",
+        F.col("_n").alias("n_shingles"),
+        F.when(F.col("_label") >= _NO_ID, None).otherwise(F.coalesce("_label", "_id")).alias("component_id"),
+        F.coalesce(F.col("_rid") == F.col("_keep"), F.lit(True)).alias("_first"),
+    )
