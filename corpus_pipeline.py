@@ -1,12 +1,107 @@
-"""The corpus pipeline: five stages, each an operator of skein.llm."""
+"""The corpus pipeline: five stages, each an operator of skein.llm.
+
+Each stage takes (spark, docs, sf_dir) and returns the columns of ``docs``, the last one
+the packed pieces. run() writes what a stage returns as Parquet to the shared folder and
+reads it again as the next one's docs.
+"""
 
 from __future__ import annotations
 
+from pathlib import Path
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skein.llm._shared import written
+from skein.llm.decontamination import decontaminate
+from skein.llm.line_quality import line_quality
+from skein.llm.ngram_join import ngram_components
+from skein.llm.packing import pack_documents
+from skein.llm.substring_dedup import substring_dedup
+
+#: Keys up to this count (16 bytes each) are broadcast to filter documents; more are joined.
+BROADCAST_KEYS = 500_000
+
+
+def _ready(spark: SparkSession) -> None:
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parent))
+
+
+def _counted(keys: DataFrame) -> DataFrame:
+    """Written keys, marked for broadcast if they are few."""
+    keys = written(keys, "keys")
+    return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
+
+
+def _row(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("_row", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+
+
+_SAME_ROW = F.expr("doc_id <=> _id and _row = _gone_row")
+
+
+def _as_before(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs``, with n_chars (if there) counted anew."""
+    out = found.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else found
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line rules keep, without their failed lines."""
+    _ready(spark)
+    return _as_before(line_quality(docs, clean=True, prefix="_rule_").where("_rule_kept"), docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component: the one with the smallest id."""
+    _ready(spark)
+    found = written(ngram_components(docs).select("_id", F.col("_row").alias("_gone_row"), "_first", "n_shingles"), "components")
+    each = found.where("n_shingles > 0").groupBy("_id", "_gone_row").agg(F.max("_first").alias("_first"), F.count("*").alias("_rows"))
+    left = _row(docs).join(_counted(each.where("not _first").select("_id", "_gone_row")), _SAME_ROW, "left_anti")
+    again = _counted(each.where("_first and _rows > 1").select("_id", "_gone_row"))
+    if not again.isEmpty():  # rows that repeat the one to keep, id and text
+        left = left.join(again, _SAME_ROW, "left_anti").unionByName(left.join(again, _SAME_ROW, "left_semi").dropDuplicates(["doc_id", "_row"]))
+    return left.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages of 50 words and more that an earlier document holds; a text of nothing else goes."""
+    _ready(spark)
+    cut = substring_dedup(docs).where("n_removed > 0").select("_id", F.col("_row").alias("_cut_row"), "_kept", (F.col("n_removed") == F.col("n_words")).alias("_all")).dropDuplicates(["_id", "_cut_row"])
+    joined = _row(docs).join(cut, (F.col("doc_id") == F.col("_id")) & (F.col("_row") == F.col("_cut_row")), "left")
+    return _as_before(joined.where("not coalesce(_all, false)").withColumn("text", F.coalesce("_kept", "text")), docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no test passage of weight."""
+    _ready(spark)
+    tests = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    gone = _counted(decontaminate(docs, tests).where("contaminated").select("_id", F.col("_row").alias("_gone_row")).distinct())
+    return _row(docs).join(gone, _SAME_ROW, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 1024 ids."""
+    _ready(spark)
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, window=1024)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("substring dedup", repeated_passages),
+    ("benchmark decontamination", decontamination),
+    ("packing", packing),
+]
 
-STAGES: list = []
+#: No stage but the fourth is expressible in SQL on whole tables; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    _ready(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
