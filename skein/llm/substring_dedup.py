@@ -20,9 +20,12 @@ Plan
 
 Two documents that share a window share its fingerprint and so its group:
 nothing is lost. Fingerprints in more than ``hot`` documents would make large
-groups; their windows are dealt out one by one by their own words, which
-bounds a group and still keeps equal windows together. Shards are sent only the
-stretches that need them, so no broadcast grows with the corpus.
+groups; their windows are dealt out in runs of ``RUN`` starts, counted from the
+fingerprint's place, by the words that all windows of a run hold. Equal windows
+lie at the same distance from their fingerprint, so they still meet, and stretches
+that go on differently part. Beyond ``VERY_HOT`` documents runs are single
+windows, which meet only their equals. Shards are sent only the stretches that
+need them, so no broadcast grows with the corpus.
 
 Nulls: a null text has no words; a row with a null id is kept unchanged.
 Rows that repeat an id are judged against other ids only.
@@ -43,6 +46,8 @@ from ._text import U64, Words, chunks, mix, shingles, sliding_min, text_buffers
 
 #: Words in a fingerprint's shingle, and the number of documents from which a fingerprint is hot.
 SHINGLE, HOT = 20, 128
+#: Windows dealt out together when hot, and the number of documents from which they go one by one.
+RUN, VERY_HOT = 10, 50_000
 
 
 class SuffixAutomaton:
@@ -137,6 +142,7 @@ def _fingerprints(length: int, k: int):
 
 def _stretches(length: int, k: int):
     """Rows of documents with their repeated fingerprints -> stretches for the shards."""
+    run_of_hot = min(RUN, length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -144,8 +150,9 @@ def _stretches(length: int, k: int):
             cand = b.column(3)
             for i, j in chunks(offs):
                 w = Words(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                least = sliding_min(shingles(w.hash, k), length - k + 1)
-                single = shingles(w.hash, length)
+                grams = shingles(w.hash, k)
+                least = sliding_min(grams, length - k + 1)
+                shared = {r: shingles(w.hash, length - r + 1) for r in (run_of_hot, 1)}
                 rows: list[list] = [[] for _ in range(7)]
                 for d in range(i, j):
                     a, e = w.first[d - i], w.first[d - i + 1]
@@ -155,31 +162,42 @@ def _stretches(length: int, k: int):
                     prints = c.field(0).to_numpy(zero_copy_only=False).view(U64)
                     order = np.argsort(prints)
                     prints, group, hot = prints[order], c.field(1).to_numpy(zero_copy_only=False)[order], c.field(2).to_numpy(zero_copy_only=False)[order]
+                    mine: dict[tuple, list[int]] = {}
                     own = least[a : e - length + 1]
                     at = np.minimum(np.searchsorted(prints, own), len(prints) - 1)
                     known = prints[at] == own
-                    is_hot = known & hot[at]
-                    for s in np.flatnonzero(is_hot):
-                        _row(rows, w, b, d, a, int(s), int(s) + length, int(single[a + s].view(np.int64)), True)
+                    is_hot = known & (hot[at] > 0)
+                    s = np.flatnonzero(is_hot)
+                    if len(s):  # runs of windows: place of the fingerprint, then distance from it
+                        place = s + np.lib.stride_tricks.sliding_window_view(grams[a : e - k + 1], length - k + 1)[s].argmin(1)
+                        step = np.where(hot[at][s] > 1, 1, run_of_hot)
+                        nth = (place - s) // step
+                        new = np.flatnonzero(np.r_[True, (np.diff(s) != 1) | (np.diff(place) != 0) | (np.diff(nth) != 0) | (np.diff(step) != 0)])
+                        for x, y in zip(new, np.r_[new[1:], len(s)]):
+                            common = shared[int(step[x])][a + place[x] - nth[x] * step[x]]
+                            own_group = mix(np.array([common ^ U64(nth[x])]))[0].view(np.int64)
+                            stretch(mine, w, a, int(s[x]), int(s[y - 1]) + length, int(own_group), True)
                     # one stretch for each group: its windows, those less than a window apart joined
                     cold = np.flatnonzero(known & ~is_hot)
-                    if not len(cold):
-                        continue
-                    g = group[at[cold]]
-                    by = np.lexsort((cold, g))
-                    cold, g = cold[by], g[by]
-                    new = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (np.diff(cold) >= length)])
-                    for x, y in zip(new, np.r_[new[1:], len(cold)]):
-                        _row(rows, w, b, d, a, int(cold[x]), int(cold[y - 1]) + length, int(g[x]), False)
+                    if len(cold):
+                        g = group[at[cold]]
+                        by = np.lexsort((cold, g))
+                        cold, g = cold[by], g[by]
+                        new = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (np.diff(cold) >= length)])
+                        for x, y in zip(new, np.r_[new[1:], len(cold)]):
+                            stretch(mine, w, a, int(cold[x]), int(cold[y - 1]) + length, int(g[x]), False)
+                    for (group_of, is_it_hot, text), places in mine.items():
+                        for to, x in zip(rows, (b.column(0)[d].as_py(), b.column(1)[d].as_py(), group_of, is_it_hot, places, len(text.split()), text)):
+                            to.append(x)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, kind) for x, kind in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.binary()))],
+                    [pa.array(x, kind) for x, kind in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int32()), pa.int32(), pa.binary()))],
                     ["_id", "_row", "_group", "_hot", "_at", "_n", "_words"],
                 )
 
-    def _row(rows, w, b, d, a, s, e, group, hot) -> None:
-        text = w.buf[w.start[a + s] : w.end[a + e - 1]].tobytes()
-        for to, x in zip(rows, (b.column(0)[d].as_py(), b.column(1)[d].as_py(), group, hot, s, e - s, b" ".join(text.split()))):
-            to.append(x)
+    def stretch(mine: dict, w: Words, a: int, s: int, e: int, group: int, hot: bool) -> None:
+        """A text that repeats its stretches gives each once, with all its places."""
+        text = b" ".join(w.buf[w.start[a + s] : w.end[a + e - 1]].tobytes().split())
+        mine.setdefault((group, hot, text), []).append(s)
 
     return run
 
@@ -298,11 +316,11 @@ def substring_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", t
     single = prints.join(first.select("_sum", F.col("_first").alias("_id")), ["_sum", "_id"], "left_semi")
     rows = single.select("_id", "_row", F.explode("_prints").alias("_print"))
     repeated = rows.groupBy("_print").agg(F.min("_id").alias("_group"), F.max("_id").alias("_last"), F.count("*").alias("_docs")).where("_group < _last")
-    wanted = rows.join(repeated.select("_print", "_group", (F.col("_docs") > hot).alias("_hot")), "_print").groupBy("_id", "_row").agg(F.collect_list(F.struct("_print", "_group", "_hot")).alias("_cand"))
+    wanted = rows.join(repeated.select("_print", "_group", ((F.col("_docs") > hot).cast("int") + (F.col("_docs") > VERY_HOT).cast("int")).alias("_hot")), "_print").groupBy("_id", "_row").agg(F.collect_list(F.struct("_print", "_group", "_hot")).alias("_cand"))
     stretches = (
         keyed.join(wanted, ["_id", "_row"])
         .select("_id", "_row", "_text", "_cand")
-        .mapInArrow(_stretches(length, k), "_id long, _row long, _group long, _hot boolean, _at int, _n int, _words binary")
+        .mapInArrow(_stretches(length, k), "_id long, _row long, _group long, _hot boolean, _at array<int>, _n int, _words binary")
         .withColumn("_key", F.unhex(F.md5("_words")))
     )
     distinct = stretches.groupBy("_group", "_hot", "_key").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last"), F.min("_words").alias("_words"))
@@ -318,7 +336,7 @@ def substring_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", t
         stretches.select("_id", "_row", "_group", "_hot", "_key", "_at", "_n")
         .join(judged, ["_group", "_hot", "_key"])
         .withColumn("_spans", F.when(F.col("_id") > F.col("_first"), whole).otherwise(F.coalesce("_spans", F.array().cast(_SPANS))))
-        .select("_id", "_row", F.transform("_spans", lambda x: F.struct((x["s"] + F.col("_at")).alias("s"), (x["e"] + F.col("_at")).alias("e"))).alias("_spans"))
+        .select("_id", "_row", F.flatten(F.transform("_at", lambda at: F.transform("_spans", lambda x: F.struct((x["s"] + at).alias("s"), (x["e"] + at).alias("e"))))).alias("_spans"))
         .groupBy("_id", "_row")
         .agg(F.flatten(F.collect_list("_spans")).alias("_spans"))
     )
