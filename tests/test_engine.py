@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import provider, turns as T
 from skein.operators import indices, mentions, ordered, resolution, sequences, stats, text_state, validation
+from skein.plans import more_queries as _more  # noqa: F401
 from skein.plans import queries as engine
 from skein.sources import domain, transcripts
 from skein.streaming import turns as streaming
