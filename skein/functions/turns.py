@@ -33,13 +33,13 @@ def token_estimate(text: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.char_length(text) / 3)).cast("bigint")
 
 
-def has_word(text: Column, pattern: str) -> Column:
-    """Whether the lower-cased text holds the pattern between word boundaries of any script."""
-    return F.lower(text).rlike(rf"(?U)\b(?:{pattern})\b")
+def has_word(folded: Column, pattern: str) -> Column:
+    """Whether lower-cased text holds the pattern between word boundaries of any script."""
+    return folded.rlike(rf"(?U)\b(?:{pattern})\b")
 
 
-def count_word(text: Column, pattern: str) -> Column:
-    return F.regexp_count(F.lower(text), F.lit(rf"(?U)\b(?:{pattern})\b"))
+def count_word(folded: Column, pattern: str) -> Column:
+    return F.regexp_count(folded, F.lit(rf"(?U)\b(?:{pattern})\b"))
 
 
 def normal_name(name: Column) -> Column:

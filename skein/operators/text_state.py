@@ -54,25 +54,24 @@ def markers(turns: DataFrame) -> DataFrame:
     return rows.select("session_id", "turn_no", (F.col("_i") + 1).cast("bigint").alias("seq"), kind.alias("type"), value.alias("value"))
 
 
-def fine_season(text: Column) -> Column:
-    return F.coalesce(*(F.when(has_word(text, p), label) for p, label in FINE_SEASONS))
+def seasons(turns: DataFrame) -> DataFrame:
+    """With fine (the first fine label found) and base (the season with most of its words in the
+    text: two different ones at least, and two more than the next season).
 
-
-def base_season(text: Column) -> Column:
-    """The season with most of its words in the text: two different ones at least, and two more than the next season."""
-    scores = {s: sum((count_word(text, w) for w in ws), F.lit(0)) for s, ws in SEASON_WORDS.items()}
-    kinds = {s: sum((has_word(text, w).cast("int") for w in ws), F.lit(0)) for s, ws in SEASON_WORDS.items()}
-    out = []
-    for s in SEASON_WORDS:
-        rest = F.greatest(*(scores[o] for o in SEASON_WORDS if o != s))
-        out.append(F.when((scores[s] - rest >= 2) & (kinds[s] >= 2), s))
-    return F.coalesce(*out)
+    The steps stay apart, so that each pattern is counted once and the generated code stays small.
+    """
+    names, c = list(SEASON_WORDS), F.col
+    own = turns.withColumn("_t", F.lower("text"))
+    own = own.withColumns({f"_c_{s}": F.array(*(count_word(c("_t"), w) for w in ws)) for s, ws in SEASON_WORDS.items()} | {"fine": F.coalesce(*(F.when(has_word(c("_t"), p), label) for p, label in FINE_SEASONS))})
+    own = own.withColumns({f"_s_{s}": F.aggregate(f"_c_{s}", F.lit(0), lambda a, x: a + x) for s in names} | {f"_k_{s}": F.size(F.filter(f"_c_{s}", lambda x: x > 0)) for s in names})
+    best = (F.when((c(f"_k_{s}") >= 2) & (c(f"_s_{s}") - F.greatest(*(c(f"_s_{o}") for o in names if o != s)) >= 2), s) for s in names)
+    return own.select(*turns.columns, "fine", F.coalesce(*best).alias("base"))
 
 
 def season_signals(turns: DataFrame) -> DataFrame:
     """The season of each turn that tells one: fine (confidence 0.8) before base (0.5)."""
-    own = turns.select("session_id", "turn_no", fine_season(F.col("text")).alias("_f"), base_season(F.col("text")).alias("_b")).where("_f is not null or _b is not null")
-    return own.select("session_id", "turn_no", F.coalesce("_f", F.concat(F.lit("mid_"), F.col("_b"))).alias("season"), F.when(F.col("_f").isNotNull(), 0.8).otherwise(0.5).alias("confidence"))
+    own = seasons(turns.select("session_id", "turn_no", "text")).where("fine is not null or base is not null")
+    return own.select("session_id", "turn_no", F.coalesce("fine", F.concat(F.lit("mid_"), F.col("base"))).alias("season"), F.when(F.col("fine").isNotNull(), 0.8).otherwise(0.5).alias("confidence"))
 
 
 def _first_hits(turns: DataFrame, patterns: tuple, kind: str, confidence: float) -> DataFrame:
