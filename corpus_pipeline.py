@@ -10,7 +10,7 @@ from __future__ import annotations
 from pathlib import Path
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm._shared import written
@@ -38,7 +38,8 @@ def _row(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_row", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
 
 
-_SAME_ROW = F.expr("doc_id <=> _id and _row = _gone_row")
+def _same_row() -> Column:
+    return F.expr("doc_id <=> _id and _row = _gone_row")
 
 
 def _as_before(found: DataFrame, docs: DataFrame) -> DataFrame:
@@ -58,10 +59,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     _ready(spark)
     found = written(ngram_components(docs).select("_id", F.col("_row").alias("_gone_row"), "_first", "n_shingles"), "components")
     each = found.where("n_shingles > 0").groupBy("_id", "_gone_row").agg(F.max("_first").alias("_first"), F.count("*").alias("_rows"))
-    left = _row(docs).join(_counted(each.where("not _first").select("_id", "_gone_row")), _SAME_ROW, "left_anti")
+    left = _row(docs).join(_counted(each.where("not _first").select("_id", "_gone_row")), _same_row(), "left_anti")
     again = _counted(each.where("_first and _rows > 1").select("_id", "_gone_row"))
     if not again.isEmpty():  # rows that repeat the one to keep, id and text
-        left = left.join(again, _SAME_ROW, "left_anti").unionByName(left.join(again, _SAME_ROW, "left_semi").dropDuplicates(["doc_id", "_row"]))
+        left = left.join(again, _same_row(), "left_anti").unionByName(left.join(again, _same_row(), "left_semi").dropDuplicates(["doc_id", "_row"]))
     return left.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
@@ -78,7 +79,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     _ready(spark)
     tests = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     gone = _counted(decontaminate(docs, tests).where("contaminated").select("_id", F.col("_row").alias("_gone_row")).distinct())
-    return _row(docs).join(gone, _SAME_ROW, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return _row(docs).join(gone, _same_row(), "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
