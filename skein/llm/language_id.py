@@ -131,7 +131,11 @@ def fit(texts: list[str], langs: list[str], epochs: int = EPOCHS, rate: float =
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model | None:
     """Fit on at most ``sample`` rows with a language and a text; None if there is none."""
     rows = labelled.select(F.col(f"`{text_col}`").alias("t"), F.col(f"`{lang_col}`").alias("l"), F.xxhash64(f"`{id_col}`").alias("h"), F.col(f"`{id_col}`").alias("i"))
-    got = rows.where("t is not null and l is not null").orderBy("h", "i", "t").limit(sample).select("t", "l").collect()
+    rows = rows.where("t is not null and l is not null")
+    n = rows.count()
+    if n > 2 * sample:  # a share of the hashes first, so that no partition sends more than its part of the sample
+        rows = rows.where(F.pmod("h", F.lit(1 << 31)) < int((1 << 31) * 1.3 * sample / n))
+    got = rows.orderBy(F.pmod("h", F.lit(1 << 31)), "h", "i", "t").limit(sample).select("t", "l").collect()
     return fit([r.t for r in got], [r.l for r in got]) if got else None
 
 
