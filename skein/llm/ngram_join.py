@@ -5,22 +5,21 @@ two documents link when 100 * |intersection| >= ``percent`` * |union|.
 
 Plan
 1. Equal sets are one node, whose number is its first document's.
-2. A global order of tokens: those counted as frequent go last, by count, all others first, by
-   hash. The counts come from all documents, thinned in each chunk to what repeats
-   there; at most ``FREQUENT`` tokens are kept. The order only steers cost: any
-   order all documents share gives the same links.
-3. Extended prefixes: with overlap t needed at least, the first |x| - t + ``COMBINE`` tokens of
-   two linked sets share COMBINE tokens. Prefix tokens meet in buckets; a bucket of one is dropped.
+2. Extended prefixes: tokens are ordered by hash, and a set of n tokens is indexed by its first
+   L(n), about 2 (1 - p) n for a threshold p. Two linked sets then have, among the tokens that both
+   prefixes reach, so many in common that two of them stand next to each other in
+   both, and so many that a set of whose prefix less than p (1 - p) n tokens occur
+   elsewhere links with nothing: such sets, the most, leave here.
+3. Classes: a prefix token that is left in up to ``RARE`` sets is rare and a bucket by itself. The others are
+   frequent, and each combination of two that are neighbours in a prefix is a bucket. A linked
+   pair has a rare token in common, or else only frequent ones and so a combination.
 4. Stars: in each bucket every component is paired with the bucket's pivot; pairs
    are verified on whole texts, and components joined, until that finds no more
    (``STARS`` rounds at most). A large group of near copies collapses here at a
    cost in proportion to its size.
-5. Closure, exact: what remains open are buckets that hold several components. Buckets of
-   up to ``RARE`` nodes pair their nodes across components. Tokens of larger buckets
-   are indexed in combinations of COMBINE, of which any linked pair without a
-   common rare token shares one; sets too large for that (over ``MOST_COMBINED`` tokens) use
-   single tokens there. A pair is verified if the count of its common prefix tokens
-   lets it still reach the overlap.
+5. Closure, exact: what remains open are buckets that hold several components; their nodes
+   are paired across components. A pair by rare tokens is verified if the count of those and
+   of frequent tokens lets it still reach the overlap that linked prefixes have.
 
 Every linked pair of nodes is verified or already in one component, so the components
 are those of the full join.
@@ -33,7 +32,6 @@ only where no member has an id; it is null then. Repeated rows are equal sets.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +42,8 @@ from ._shared import columns_as, written
 from ._text import U64, Words, chunks, mix, shingles, text_buffers
 
 WORDS, PERCENT = 5, 80
-FREQUENT, LOCAL_REPEATS, COMBINE, RARE, STARS, MOST_COMBINED, SALT = 200_000, 3, 2, 64, 4, 1200, 64
-#: Labels from here on name components of which no member has an id.
+RARE, STARS, SALT, BROADCAST_NODES = 8, 3, 64, 500_000
+#: Names from here on are of rows without an id: they name components of which no member has an id.
 _NO_ID = 1 << 62
 
 
@@ -72,8 +70,17 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
-def _needed(n: int, percent: int) -> int:
-    return -(-n * percent // 100)
+def prefix_length(n: int, percent: int) -> int:
+    """Tokens of a set that are indexed: those of it that a linked set lacks, those that either lacks, and three.
+
+    With p = percent / 100 the first two are at most 2 (1 - p) n, or n / p - n where that is more.
+    """
+    return min(n, max(-(-2 * n * (100 - percent) // 100), -(-n * (100 - percent) // percent)) + 3)
+
+
+def _prefix_sql(n: str, percent: int) -> str:
+    up = lambda top, under: f"(({top} + {under - 1}) div {under})"
+    return f"least({n}, greatest({up(f'2 * {n} * {100 - percent}', 100)}, {up(f'{n} * {100 - percent}', percent)}) + 3)"
 
 
 def _sets(k: int):
@@ -89,42 +96,16 @@ def _sets(k: int):
     return run
 
 
-def _repeats(k: int):
+def _prefixes(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            buf, offs = text_buffers(b.column(2))
+            buf, offs = text_buffers(b.column(1))
             for i, j in chunks(offs):
-                sets = shingle_sets(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], k)
-                token, n = np.unique(np.concatenate(sets), return_counts=True)
-                often = n >= LOCAL_REPEATS
-                yield pa.RecordBatch.from_arrays([pa.array(token[often].view(np.int64)), pa.array(n[often])], ["_token", "_n"])
-
-    return run
-
-
-def _prefixes(k: int, percent: int, frequent: np.ndarray, rank: np.ndarray):
-    """frequent: sorted tokens; rank: the place of each by count."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            buf, offs = text_buffers(b.column(2))
-            for i, j in chunks(offs):
-                rid, tokens = [], []
-                ids = b.column(0)[i:j].to_numpy()
-                for d, s in zip(ids, shingle_sets(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], k)):
-                    n = min(len(s), len(s) - _needed(len(s), percent) + COMBINE)
-                    if not n:
-                        continue
-                    if len(frequent):
-                        at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-                        often = frequent[at] == s
-                        if often.any():
-                            rare = s[~often]
-                            s = rare if len(rare) >= n else np.concatenate([rare, s[often][np.argsort(-rank[at[often]])]])
-                    tokens.append(s[:n])
-                    rid.append(np.full(n, d))
-                flat = lambda x, kind: pa.array(np.concatenate(x) if x else np.zeros(0), kind)
-                yield pa.RecordBatch.from_arrays([flat([t.view(np.int64) for t in tokens], pa.int64()), flat(rid, pa.int64())], ["_token", "_rid"])
+                tokens = [s[: prefix_length(len(s), percent)] for s in shingle_sets(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], k)]
+                sizes = [len(t) for t in tokens]
+                flat = np.concatenate(tokens).view(np.int64)
+                at = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(b.column(0)[i:j].to_numpy(), sizes)), pa.array(at.astype(np.int32))], ["_token", "_rid", "_at"])
 
     return run
 
@@ -171,25 +152,6 @@ def _verify(k: int, percent: int):
     return run
 
 
-def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(_rid, _n, _tokens) -> a bucket for each combination, or for each token of a large set."""
-    for b in batches:
-        for d, n, tokens in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-            t = np.sort(tokens.values.to_numpy()).view(U64)
-            parts = []
-            # sets near the bound do both, so that any two linked sets have one way in common
-            if n <= MOST_COMBINED * 100 // PERCENT + 1:
-                pairs = np.array(list(combinations(range(len(t)), COMBINE)), np.int64).reshape(-1, COMBINE)
-                key = np.zeros(len(pairs), U64)
-                for c in range(COMBINE):
-                    key = mix(key + t[pairs[:, c]])
-                parts.append(key)
-            if n >= MOST_COMBINED:
-                parts.append(t)
-            keys = np.concatenate(parts).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), d))], ["_token", "_rid"])
-
-
 def components(edges: DataFrame, nodes: DataFrame, key: str, label: str) -> DataFrame:
     """Least ``label`` that each node of ``nodes`` (key, label) reaches over ``edges`` (_x, _y)."""
     both = written(edges.select(F.col("_x").alias("_a"), F.col("_y").alias("_b")).unionByName(edges.select(F.col("_y").alias("_a"), F.col("_x").alias("_b"))).distinct(), "edges")
@@ -213,19 +175,29 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     base = written(columns_as(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("_rid"), "_id", "_text"), "rows")
     sets = written(base.select("*", F.xxhash64(F.coalesce("_text", F.lit(""))).alias("_row")).mapInArrow(_sets(words), "_rid long, _id long, _row long, _n long, _sum long, _more long"), "sets")
     named = sets.where("_n > 0").withColumn("_name", F.coalesce("_id", F.col("_rid") + F.lit(_NO_ID)))
-    nodes = named.groupBy("_n", "_sum", "_more").agg(F.min("_name").alias("_label"), F.min_by("_rid", F.struct("_name", "_rid")).alias("_node"))
+    nodes = named.groupBy("_n", "_sum", "_more").agg(F.min("_name").alias("_name"), F.min_by("_rid", F.struct("_name", "_rid")).alias("_node"))
     nodes = written(nodes, "nodes")
 
-    often = base.mapInArrow(_repeats(words), "_token long, _n long").groupBy("_token").agg(F.sum("_n").alias("_n")).orderBy(F.desc("_n"), "_token").limit(FREQUENT).toPandas()
-    tokens, count = often["_token"].to_numpy(np.int64).view(U64), np.arange(len(often), 0, -1)
-    order = np.argsort(tokens)
-    prefixes = base.mapInArrow(_prefixes(words, percent, tokens[order], (len(often) - count)[order]), "_token long, _rid long")
-    met = written(prefixes.repartition("_token").sortWithinPartitions("_token").mapInArrow(_shared_only, "_token long, _rid long"), "buckets")
-    slim = nodes.select(F.col("_node").alias("_rid"), "_n", "_label")
-    buckets = met.join(slim.select("_rid", "_n"), "_rid")
-    df = buckets.groupBy("_token").agg(F.count("*").alias("_df")).where("_df > 1")
-    buckets = written(buckets.join(df, "_token").select("_token", "_rid", "_n", "_df"), "buckets")
-    texts = written(base.select("_rid", "_text").join(buckets.select("_rid").distinct(), "_rid", "left_semi"), "texts")
+    index = "_token long, _rid long, _at int"
+    prefixes = base.select("_rid", "_text").mapInArrow(_prefixes(words, percent), index).select("_token", "_rid")
+    met = written(prefixes.repartition("_token").sortWithinPartitions("_token").mapInArrow(_shared_only, "_token long, _rid long"), "met")
+    slim = nodes.select(F.col("_node").alias("_rid"), "_n")
+    shared = met.join(slim, "_rid")
+    enough = shared.groupBy("_rid").agg(F.count("*").alias("_u"), F.max("_n").alias("_n")).where(F.col("_u") * 10000 >= F.col("_n") * (percent * (100 - percent)) - 9999)
+    left = written(enough.select("_rid"), "left")
+    few = left.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
+    texts = written(base.select("_rid", "_text").join(F.broadcast(left) if few else left, "_rid", "left_semi"), "texts")
+    # from here on only the sets that are left; their prefixes are made anew, with places
+    shared = texts.mapInArrow(_prefixes(words, percent), index).join(slim, "_rid")
+    df = shared.groupBy("_token").agg(F.count("*").alias("_df")).where("_df > 1")
+    shared = written(shared.join(df, "_token"), "shared")
+    rare = shared.where(F.col("_df") <= RARE).select("_token", "_rid", "_n")
+    frequent = shared.where(F.col("_df") > RARE)
+    a, b = frequent.select("_rid", "_n", "_at", "_token"), frequent.select("_rid", (F.col("_at") - 1).alias("_at"), F.col("_token").alias("_next"))
+    combined = a.join(b, ["_rid", "_at"]).select(F.xxhash64("_token", "_next").alias("_token"), "_rid", "_n")
+    several = combined.groupBy("_token").agg(F.count("*").alias("_c")).where("_c > 1")
+    combined = written(combined.join(several.select("_token"), "_token", "left_semi"), "combined")
+    buckets = rare.unionByName(combined)
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs.select("_x", "_y"), "pairs")
@@ -235,15 +207,20 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
         rows = own.unionByName(other).repartition("_x", "_salt").sortWithinPartitions("_x", "_salt", "_kind")
         return written(rows.mapInArrow(_verify(words, percent), "_x long, _y long"), "links")
 
-    links = None
-    labels = slim.select("_rid", "_label", "_n")
+    # a component is known by the least row number among its nodes
+    labels = slim.withColumn("_label", F.col("_rid"))
 
     def joined(found: DataFrame) -> bool:
-        nonlocal links, labels
-        if found.isEmpty():
+        """Join the components that the links connect; only those are walked."""
+        nonlocal labels
+        own = labels.select("_rid", "_label")
+        edges = found.join(own.toDF("_x", "_lx"), "_x").join(own.toDF("_y", "_ly"), "_y").where("_lx <> _ly")
+        edges = written(edges.select(F.col("_lx").alias("_x"), F.col("_ly").alias("_y")).distinct(), "edges")
+        if edges.isEmpty():
             return False
-        links = found if links is None else links.unionByName(found)
-        labels = components(links, slim, "_rid", "_label").join(slim.select("_rid", "_n"), "_rid")
+        ends = edges.select(F.explode(F.array("_x", "_y")).alias("_label")).distinct()
+        moved = components(edges, ends.withColumn("_to", F.col("_label")), "_label", "_to")
+        labels = written(labels.join(moved, "_label", "left").select("_rid", "_n", F.coalesce("_to", "_label").alias("_label")), "labels")
         return True
 
     def opened(rows: DataFrame) -> DataFrame:
@@ -260,34 +237,27 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
         if not joined(verified(stars)):
             break
 
-    # what is left open: all pairs across components that can still reach the overlap
-    left = written(opened(buckets), "open")
-    frequent = left.where(F.col("_df") > RARE)
-    f = frequent.groupBy("_rid").agg(F.count("*").alias("_f"))
-
+    # what is left open: pairs across components
     def across(rows: DataFrame) -> DataFrame:
-        a = rows.select("_token", F.col("_rid").alias("_x"), F.col("_label").alias("_lx"), F.col("_n").alias("_nx"))
-        b = rows.select("_token", F.col("_rid").alias("_y"), F.col("_label").alias("_ly"), F.col("_n").alias("_ny"))
-        return a.join(b, "_token").where("_x < _y and _lx <> _ly").where(fits(F.col("_nx"), F.col("_ny"))).groupBy("_x", "_y", "_nx", "_ny").agg(F.count("*").alias("_c"))
-
-    rare_pairs = across(left.where(F.col("_df") <= RARE)).join(f.select(F.col("_rid").alias("_x"), F.col("_f").alias("_fx")), "_x", "left").join(f.select(F.col("_rid").alias("_y"), F.col("_f").alias("_fy")), "_y", "left")
-    need = lambda n: F.expr(f"{n} * {percent} div 100 + int({n} * {percent} % 100 > 0)")
-    beyond = lambda n: F.greatest(need(n) - COMBINE, F.lit(0))  # noqa: E731  tokens behind the prefix
-    most = F.col("_c") + F.least(F.coalesce("_fx", F.lit(0)), F.coalesce("_fy", F.lit(0))) + F.greatest(beyond("_nx"), beyond("_ny"))
-    rare_pairs = rare_pairs.where((100 + percent) * most >= percent * (F.col("_nx") + F.col("_ny"))).select("_x", "_y")
-    combos = frequent.groupBy("_rid", "_n").agg(F.collect_list("_token").alias("_tokens")).mapInArrow(_combined, "_token long, _rid long")
-    combos = combos.repartition("_token").sortWithinPartitions("_token").mapInArrow(_shared_only, "_token long, _rid long")
-    combos = opened(combos.join(slim.select("_rid", "_n"), "_rid"))
-    joined(verified(rare_pairs.unionByName(across(combos).select("_x", "_y")).distinct()))
-
-    of = nodes.select("_n", "_sum", "_more", F.col("_node").alias("_rid"), F.col("_label").alias("_name")).join(labels.select("_rid", "_label"), "_rid")
-    # a component's name is that of one of its nodes: the node's row is the one to keep
-    keeper = of.where("_name = _label").groupBy("_label").agg(F.min("_rid").alias("_keep"))
-    out = sets.join(of.select("_n", "_sum", "_more", "_label").join(keeper, "_label"), ["_n", "_sum", "_more"], "left")
+        left = written(opened(rows), "open")
+        x = left.select("_token", F.col("_rid").alias("_x"), F.col("_label").alias("_lx"), F.col("_n").alias("_nx"))
+        y = left.select("_token", F.col("_rid").alias("_y"), F.col("_label").alias("_ly"), F.col("_n").alias("_ny"))
+        return x.join(y, "_token").where("_x < _y and _lx <> _ly").where(fits(F.col("_nx"), F.col("_ny"))).groupBy("_x", "_y", "_nx", "_ny").agg(F.count("*").alias("_c"))
+
+    f = frequent.groupBy("_rid").agg(F.count("*").alias("_f"))
+    counted = across(rare).join(f.select(F.col("_rid").alias("_x"), F.col("_f").alias("_fx")), "_x", "left").join(f.select(F.col("_rid").alias("_y"), F.col("_f").alias("_fy")), "_y", "left")
+    overlap = F.expr(f"(({percent} * (_nx + _ny) + {99 + percent}) div {100 + percent})")
+    common = F.least(F.expr(_prefix_sql("_nx", percent)) - F.col("_nx"), F.expr(_prefix_sql("_ny", percent)) - F.col("_ny")) + overlap
+    counted = counted.where(F.col("_c") + F.least(F.coalesce("_fx", F.lit(0)), F.coalesce("_fy", F.lit(0))) >= common)
+    joined(verified(counted.select("_x", "_y").unionByName(across(combined).select("_x", "_y")).distinct()))
+
+    of = nodes.select("_n", "_sum", "_more", F.col("_node").alias("_rid"), "_name").join(labels.select("_rid", "_label"), "_rid")
+    named = of.groupBy("_label").agg(F.min("_name").alias("_least"), F.min_by("_rid", F.struct("_name", "_rid")).alias("_keep"))
+    out = sets.join(of.join(named, "_label").select("_n", "_sum", "_more", "_least", "_keep"), ["_n", "_sum", "_more"], "left")
     return out.select(
         "_id",
         "_row",
         F.col("_n").alias("n_shingles"),
-        F.when(F.col("_label") >= _NO_ID, None).otherwise(F.coalesce("_label", "_id")).alias("component_id"),
+        F.when(F.col("_least") >= _NO_ID, None).otherwise(F.coalesce("_least", "_id")).alias("component_id"),
         F.coalesce(F.col("_rid") == F.col("_keep"), F.lit(True)).alias("_first"),
     )

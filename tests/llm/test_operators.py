@@ -170,7 +170,7 @@ def test_cached_tokens_equal_the_library(name, keeps):
             assert ids[a:b].tolist() == enc(t)[:-1], t
 
 
-@pytest.mark.parametrize("settings", [{}, {"STARS": 0, "RARE": 2}, {"FREQUENT": 20, "LOCAL_REPEATS": 2, "RARE": 3, "MOST_COMBINED": 40}])
+@pytest.mark.parametrize("settings", [{}, {"STARS": 0, "RARE": 1}, {"STARS": 0, "RARE": 3}])
 def test_ngram_components(docs, pairs, settings, monkeypatch):
     from skein.llm import ngram_join
 
@@ -178,7 +178,8 @@ def test_ngram_components(docs, pairs, settings, monkeypatch):
         monkeypatch.setattr(ngram_join, k, v)
     found = ngram_join.ngram_components(docs).collect()
     same([(r._id, r.n_shingles, r.component_id) for r in found], X.component_reference(pairs))
-    kept = collections.Counter(r.component_id for r in found if r._first and r.n_shingles and r.component_id is not None)
+    twice = {i for i, n in collections.Counter(i for i, _ in set(pairs)).items() if n > 1}  # an id of different texts may name two components
+    kept = collections.Counter(r.component_id for r in found if r._first and r.n_shingles and r.component_id not in twice)
     assert set(kept.values()) == {1}
 
 
