@@ -7,25 +7,39 @@ reads it again as the next one's docs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
 from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm._shared import written
+from skein.llm._shared import recorded, removed, written
 from skein.llm.decontamination import decontaminate
 from skein.llm.line_quality import line_quality
 from skein.llm.ngram_join import ngram_components
 from skein.llm.packing import pack_documents
 from skein.llm.substring_dedup import substring_dedup
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: Keys up to this count (16 bytes each) are broadcast to filter documents; more are joined.
 BROADCAST_KEYS = 500_000
 
 
-def _ready(spark: SparkSession) -> None:
-    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parent))
+#: Scratch tables of the stage called last. They go when the next stage is called, whose docs are that one's written result.
+_LEFT: list[str] = []
+
+
+def _stage(f: Stage) -> Stage:
+    @wraps(f)
+    def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parent))
+        removed(spark, _LEFT)
+        with recorded(_LEFT):
+            return f(spark, docs, sf_dir)
+
+    return call
 
 
 def _counted(keys: DataFrame) -> DataFrame:
@@ -48,15 +62,15 @@ def _as_before(found: DataFrame, docs: DataFrame) -> DataFrame:
     return out.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line rules keep, without their failed lines."""
-    _ready(spark)
     return _as_before(line_quality(docs, clean=True, prefix="_rule_").where("_rule_kept"), docs)
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component: the one with the smallest id."""
-    _ready(spark)
     found = written(ngram_components(docs).select("_id", F.col("_row").alias("_gone_row"), "_first", "n_shingles"), "components")
     each = found.where("n_shingles > 0").groupBy("_id", "_gone_row").agg(F.max("_first").alias("_first"), F.count("*").alias("_rows"))
     left = _row(docs).join(_counted(each.where("not _first").select("_id", "_gone_row")), _same_row(), "left_anti")
@@ -66,25 +80,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return left.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
+@_stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 50 words and more that an earlier document holds; a text of nothing else goes."""
-    _ready(spark)
     cut = substring_dedup(docs).where("n_removed > 0").select("_id", F.col("_row").alias("_cut_row"), "_kept", (F.col("n_removed") == F.col("n_words")).alias("_all")).dropDuplicates(["_id", "_cut_row"])
     joined = _row(docs).join(cut, (F.col("doc_id") == F.col("_id")) & (F.col("_row") == F.col("_cut_row")), "left")
     return _as_before(joined.where("not coalesce(_all, false)").withColumn("text", F.coalesce("_kept", "text")), docs)
 
 
+@_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no test passage of weight."""
-    _ready(spark)
     tests = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     gone = _counted(decontaminate(docs, tests).where("contaminated").select("_id", F.col("_row").alias("_gone_row")).distinct())
     return _row(docs).join(gone, _same_row(), "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
+@_stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 1024 ids."""
-    _ready(spark)
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, window=1024)
 
 
@@ -101,7 +115,6 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _ready(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
