@@ -310,6 +310,20 @@ def test_wrapper_induction(spark):
         assert (found[k].text, found[k].n_chars) == (text, len(text)), k
 
 
+def test_wrapper_keeps_short_slots(spark):
+    from skein.llm.wrapper_induction import extract_pages
+
+    rng = random.Random(9)
+    texts = [X.prose(rng, 500 if k == 0 else 4).replace("\n", " ") for k in range(12)]
+    rows = [(k, "http://a.example/", f"<body><nav>n{k}</nav><div><h1>Title {k}</h1><div class=text><p>{t}</p></div><p>End {k}</p></div></body>") for k, t in enumerate(texts)]
+    # a long page first, whichever it is by hash
+    rows += [(100 + k, "http://b.example/", h.replace("</p></div>", "</p><p>" + X.prose(rng, 500).replace("\n", " ") + "</p></div>", 1)) for k, _, h in rows]
+    found = {r.page_id: r.text.split("\n") for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k, t in enumerate(texts):
+        assert found[k] == [f"Title {k}", t, f"End {k}"]
+        assert found[100 + k][:2] == [f"Title {k}", t] and found[100 + k][-1] == f"End {k}" and len(found[100 + k]) == 4
+
+
 def test_simple_tree_matching():
     from skein.llm.wrapper_induction import align, fold, parse
 
