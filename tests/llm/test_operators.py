@@ -324,6 +324,25 @@ def test_wrapper_keeps_short_slots(spark):
         assert found[100 + k][:2] == [f"Title {k}", t] and found[100 + k][-1] == f"End {k}" and len(found[100 + k]) == 4
 
 
+@pytest.mark.parametrize("settings", [{}, {"HELD": 20}, {"BROADCAST_ROWS": 0}])
+def test_wrapper_counts_all_pages(spark, settings, monkeypatch):
+    from skein.llm import wrapper_induction as W
+
+    for k, v in settings.items():
+        monkeypatch.setattr(W, k, v)
+    page = lambda k, first, last="Printed daily.": f"<body><h2>{first}</h2><div><p>text {k}</p></div><h3>{last}</h3></body>"
+    # a text that all but the last page share is content; one in every page is template
+    rows = [(k, f"http://a.example/{k}", page(k, "Part two" if k == 199 else "Part one")) for k in range(200)]
+    # mostly copies: 8 draws meet few of the 12 different pages
+    rows += [(1000 + k, f"http://b.example/{k}", page(-1, "First")) for k in range(600)] + [(2000 + k, f"http://b.example/x{k}", page(k, f"Part {k}")) for k in range(11)] + [(2000, "http://b.example/x0", page(0, "Part 0"))]
+    # a text of another layout with the same words is kept where it stands
+    rows += [(3000 + k, f"http://c.example/{k}", page(k, f"H{k}") if k < 30 else f"<body><ul><li>Printed daily.<li>item {k}</ul></body>") for k in range(40)]
+    found = {r.page_id: r.text.split("\n") for r in W.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)).collect()}
+    assert all(found[k] == ["Part two" if k == 199 else "Part one", f"text {k}"] for k in range(200))
+    assert all(found[1000 + k] == ["First", "text -1"] for k in range(600)) and all(found[2000 + k] == [f"Part {k}", f"text {k}"] for k in range(11))
+    assert all(found[3000 + k] == ([f"H{k}", f"text {k}"] if k < 30 else ["Printed daily.", f"item {k}"]) for k in range(40))
+
+
 def test_simple_tree_matching():
     from skein.llm.wrapper_induction import align, fold, parse
 
