@@ -4,11 +4,11 @@ Documents lie in shards: the partitions in which they are read, cut
 further at ``SHARD_BYTES`` of text. Each shard has its own BM25 inverted index: terms are words
 hashed to ``TERMS`` buckets, weighted by their number of documents over the whole
 corpus (one count for each bucket, a bounded table). The shard's next unused document is the
-seed of a window; its terms of most weight are looked up in the index, and the
+seed of a window; all its terms are looked up in the index over their whole lists, and the
 unused documents of best score follow it until the window is full. What does not
 fit is cut and opens the next window, whose seed it then is. So every window
-but a shard's last is full. Lists are read only for terms in at most ``MOST_OF_SHARD``
-of the shard's documents (commoner ones weigh next to nothing); where the
+but a shard's last is full. Lists of terms in over a ``DENSE``-th of the
+shard's documents lie as rows of a matrix; used documents leave the index when they are half of it. Where the
 neighbours run out, the next unused documents in order fill the window.
 
 A shard is one task's work and its memory is bounded by ``SHARD_BYTES`` and its longest
@@ -33,7 +33,7 @@ from ._shared import columns_as
 from ._text import U64, Words, chunks, text_buffers
 from ._tokens import encoder
 
-WINDOW, TERMS, SHARD_BYTES, SEED_TERMS, MOST_OF_SHARD = 1024, 1 << 16, 8 << 20, 12, 0.1
+WINDOW, TERMS, SHARD_BYTES, DENSE, FIRST = 1024, 1 << 16, 8 << 20, 8, 256
 _K1, _B = 1.2, 0.75
 
 
@@ -72,31 +72,56 @@ class Index:
         length = np.bincount(doc, n, n_docs)
         norm = _K1 * (1 - _B + _B * length / max(1.0, length.mean() if n_docs else 1.0))
         score = (idf[term] * n * (_K1 + 1) / (n + norm[doc])).astype(np.float32)
-        self.first = np.searchsorted(doc, np.arange(n_docs + 1))
-        self.term, self.score, self.n_docs = term, score, n_docs
-        order = np.argsort(term, kind="stable")
-        self.doc, self.by_term = doc[order], score[order]
-        self.list_first = np.searchsorted(term[order], np.arange(TERMS + 1))
+        self.first, self.term = np.searchsorted(doc, np.arange(n_docs + 1)), term
         self.used = np.zeros(n_docs, bool)
-        self.longest = max(8, int(MOST_OF_SHARD * n_docs))
+        self.live = np.arange(n_docs)  # the documents in the lists, which hold places in it
+        order = np.argsort(term, kind="stable")
+        doc, score, term = doc[order], score[order], term[order]
+        n_of = np.bincount(term, minlength=TERMS)
+        hot = np.flatnonzero(n_of > n_docs / DENSE)
+        self.row = np.full(TERMS, -1)
+        self.row[hot] = np.arange(len(hot))
+        self.dense = np.zeros((len(hot), n_docs), np.float32)
+        is_hot = self.row[term] >= 0
+        self.dense[self.row[term[is_hot]], doc[is_hot]] = score[is_hot]
+        self._lists(doc[~is_hot], term[~is_hot], score[~is_hot])
+
+    def _lists(self, doc: np.ndarray, term: np.ndarray, score: np.ndarray) -> None:
+        self.doc, self.list_term, self.by_term = doc, term, score
+        self.list_first = np.searchsorted(term, np.arange(TERMS + 1))
+
+    def _shrink(self) -> None:
+        """Take used documents out of the lists, when they are half of them."""
+        keep = ~self.used[self.live]
+        n = np.count_nonzero(keep)
+        if 2 * n > len(keep):
+            return
+        place, left = np.cumsum(keep) - 1, keep[self.doc]
+        self.live, self.dense = self.live[keep], self.dense[:, keep]
+        self._lists(place[self.doc[left]], self.list_term[left], self.by_term[left])
+
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 of each document of ``live`` for the seed's terms."""
+        self._shrink()
+        terms = self.term[self.first[seed] : self.first[seed + 1]]
+        rows = self.row[terms]
+        terms = terms[rows < 0]
+        total = np.add.reduce(self.dense[rows[rows >= 0]], axis=0)
+        begin = self.list_first[terms]
+        n = self.list_first[terms + 1] - begin
+        at = np.arange(n.sum()) + np.repeat(begin - (np.cumsum(n) - n), n)
+        return total + np.bincount(self.doc[at], self.by_term[at], len(self.live))
 
     def neighbours(self, seed: int) -> Iterator[int]:
-        """Unused documents that share a looked-up term with the seed, best first."""
-        a, e = self.first[seed], self.first[seed + 1]
-        terms = self.term[a:e]
-        lists = self.list_first[terms + 1] - self.list_first[terms]
-        fit = np.flatnonzero((lists > 1) & (lists <= self.longest))
-        if not len(fit):
-            return
-        best = fit[np.argsort(-self.score[a:e][fit], kind="stable")[:SEED_TERMS]]
-        spans = [slice(self.list_first[t], self.list_first[t + 1]) for t in terms[best]]
-        docs, back = np.unique(np.concatenate([self.doc[s] for s in spans]), return_inverse=True)
-        total = np.bincount(back, np.concatenate([self.by_term[s] for s in spans]))
-        total[self.used[docs]] = -1
-        for k in np.argsort(-total, kind="stable"):
-            if total[k] < 0:
-                return
-            yield int(docs[k])
+        """Unused documents that share a term with the seed, best first."""
+        total = self.scores(seed)
+        found = np.flatnonzero((total > 0) & ~self.used[self.live])
+        total = total[found]
+        least = np.partition(total, -FIRST)[-FIRST] if len(total) > FIRST else 0
+        for part in (total >= least, total < least):  # mostly the first are enough
+            at = np.flatnonzero(part)
+            for k in at[np.argsort(-total[at], kind="stable")]:
+                yield int(self.live[found[k]])
 
 
 def pack(index: Index, sizes: np.ndarray, window: int = WINDOW) -> np.ndarray:

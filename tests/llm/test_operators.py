@@ -265,6 +265,37 @@ def test_packing_puts_neighbours_together(spark):
     assert len(first) == 3 and len({d % 2 for d in first}) == 1
 
 
+def test_packing_ranks_by_all_terms():
+    from skein.llm.packing import _B, _K1, TERMS, Index, _doc_terms
+    from skein.llm._text import text_buffers
+
+    rng = random.Random(12)
+    # a third of the documents is a group whose common words are in over 10% of all; others share many rarer words
+    hot = [f"hot{k}" for k in range(20)]
+    texts = [" ".join(rng.sample(hot, 15) if k % 3 == 0 else map(str, rng.sample(range(1000, 1400), 25))) for k in range(600)]
+    texts = [t + f" only{k} x{rng.randrange(50)}" for k, t in enumerate(texts)] + ["", "nowhere"]
+    buf, offs = text_buffers(pa.array(texts))
+    doc, term, n = _doc_terms(buf, offs)
+    idf = np.random.default_rng(3).uniform(0.5, 5, TERMS).astype(np.float32)
+    index = Index(doc, term, n, len(texts), idf)
+    own = [{t: c for t, c in zip(term[doc == d].tolist(), n[doc == d].tolist())} for d in range(len(texts))]
+    mean = sum(sum(x.values()) for x in own) / len(own)
+    for seed in rng.sample(range(600), 40) + [600, 601]:
+        index.used[seed] = True
+        expected = {}
+        for d, x in enumerate(own):
+            if not index.used[d]:
+                norm = _K1 * (1 - _B + _B * sum(x.values()) / mean)
+                score = sum(float(idf[t]) * x[t] * (_K1 + 1) / (x[t] + norm) for t in own[seed] if t in x)
+                if score:
+                    expected[d] = score
+        got = list(index.neighbours(seed))
+        assert set(got) == set(expected) and len(got) == len(expected)
+        ranked = [expected[d] for d in got]
+        assert all(a >= b - 1e-3 for a, b in zip(ranked, ranked[1:]))
+        index.used[got[:20]] = True
+
+
 @pytest.mark.parametrize("broadcast_rows", [200_000, 0])
 def test_decontamination(spark, docs, pairs, broadcast_rows):
     from skein.llm.decontamination import decontaminate
