@@ -4,7 +4,8 @@ Documents with equal texts are linked. A label is a shard. Each group's
 documents start spread over the shards; in each round the documents of a group
 move towards the shard where most of their neighbours are, as far as that shard's
 quota of free places allows, until no move is left or ``rounds`` are done. No
-shard takes more linked documents than its share of rows. Documents without a
+shard takes more linked documents than its share of rows; where a start leaves more there, the
+surplus moves out after the rounds, smallest parts of groups first. Documents without a
 link have no edge to cut: they fill the shards up to the law ``rows``: row
 counts of any two shards differ by one at most.
 
@@ -68,6 +69,32 @@ def _propagate(cells: DataFrame, shards: int, capacity: int, rounds: int) -> Dat
     return cells
 
 
+def _levelled(cells: DataFrame, quotas: list[int]) -> DataFrame:
+    """(_group, _label, _n) without surplus: parts beyond a shard's quota go to the free places of others."""
+    load = {r._label: r.n for r in cells.groupBy("_label").agg(F.sum("_n").alias("n")).collect()}  # a row for each shard
+    spare = [q - load.get(s, 0) for s, q in enumerate(quotas)]
+    if min(spare) >= 0:
+        return cells
+    schema = "_label int, _from long, _over long, _to long"
+    places, given = [], 0
+    for s, x in enumerate(spare):  # free places are numbered over all shards, and so is the surplus
+        places.append((s, given, 0, given := given + max(x, 0)))
+    over, given = [], 0
+    for s, x in enumerate(spare):
+        over.append((s, given, max(-x, 0), given := given + max(-x, 0)))
+    spark = cells.sparkSession
+    shed = F.broadcast(spark.createDataFrame(over, schema).where("_over > 0"))
+    order = F.least(F.log2("_n").cast("int"), F.lit(63)) * BUCKETS + F.pmod(F.xxhash64("_group"), F.lit(BUCKETS))
+    parts = running_before(cells.join(shed.select("_label"), "_label").withColumn("_bucket", order), ["_label"], "_bucket", ["_group"], "_n", "_before")
+    parts = parts.join(shed, "_label").withColumn("_moved", F.least("_n", F.col("_over") - F.col("_before"))).where("_moved > 0")
+    parts = parts.select("_group", "_label", "_moved", (F.col("_from") + F.col("_before")).alias("_a"))
+    free = F.array(*(F.struct(*(F.lit(x).cast("long").alias(c) for c, x in zip("sab", (s, a, b)))) for s, a, _, b in places if b > a))
+    both = lambda p: F.least(p["b"], F.col("_a") + F.col("_moved")) - F.greatest(p["a"], F.col("_a"))
+    to = parts.select("_group", F.explode(F.transform(F.filter(free, lambda p: both(p) > 0), lambda p: F.struct(p["s"].cast("int").alias("_label"), both(p).alias("_n")))).alias("_t")).select("_group", "_t.*")
+    out = parts.select("_group", "_label", (-F.col("_moved")).alias("_n"))
+    return written(cells.unionByName(out).unionByName(to).groupBy("_group", "_label").agg(F.sum("_n").alias("_n")).where("_n > 0"), "cells")
+
+
 def _step(value: Column, limits: list[int]) -> Column:
     """How many of the ascending ``limits`` the value reaches."""
     return F.size(F.filter(F.array(*(F.lit(x).cast("long") for x in limits)), lambda x: x <= value))
@@ -81,6 +108,8 @@ def shard_documents(docs: DataFrame, shards: int = 40, rounds: int = ROUNDS, id_
     start = F.pmod(F.xxhash64("_rid"), F.lit(shards)).cast("int").alias("_label")
     linked = written(rows.join(counts.select("_group"), "_group"), "linked")
     cells = _propagate(linked.groupBy("_group", start).agg(F.count("*").alias("_n")), shards, total // shards, rounds)
+    quotas = [total // shards + (s < total % shards) for s in range(shards)]
+    cells = _levelled(cells, quotas)
 
     # the k-th document of a group goes where its k-th place is
     ends = cells.groupBy("_group").agg(F.array_sort(F.collect_list(F.struct("_label", "_n"))).alias("_cells"))
@@ -95,7 +124,7 @@ def shard_documents(docs: DataFrame, shards: int = 40, rounds: int = ROUNDS, id_
     load = {r._label: r.n for r in cells.groupBy("_label").agg(F.sum("_n").alias("n")).collect()}  # a row for each shard
     limits, reached = [], 0
     for s in range(shards):
-        reached += total // shards + (s < total % shards) - load.get(s, 0)
+        reached += quotas[s] - load.get(s, 0)
         limits.append(reached)
     rest = rows.join(linked.select("_rid"), "_rid", "left_anti").withColumn("_all", F.lit(0))
     rest = running_before(rest, ["_all"], "_pid", ["_rid"], "_one", "_nth")

@@ -229,6 +229,20 @@ def test_sharding_keeps_small_groups_together(spark):
     assert split <= 2
 
 
+@pytest.mark.parametrize("texts", ["'one'", "'t' || (id % 997)", "if(id < 3700, 't' || (id % 3), 'u' || id)"])
+def test_sharding_levels_tables_of_copies(spark, texts):
+    from skein.llm.sharding import shard_documents
+
+    d = spark.range(4003).selectExpr("id as doc_id", f"{texts} as text").repartition(5)
+    found = shard_documents(d, shards=40).collect()
+    by = collections.defaultdict(list)
+    for r in found:
+        by[r.shard].append(r.slot)
+    assert sorted(r._id for r in found) == list(range(4003)) and set(by) == set(range(40))
+    assert sorted(map(len, by.values())) == [100] * 37 + [101] * 3
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+
+
 def test_packing(docs):
     from skein.llm.packing import pack_documents
 
