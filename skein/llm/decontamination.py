@@ -5,9 +5,9 @@ Words: A-Z lower-cased, then ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``.
 The index holds postings (term, document, position) of the terms that the
 tests need. Counts of the test terms over all documents come first; each phrase
 is then looked up from its rarest term: a posting of that term at position p puts
-the phrase at p - offset, and the lists of the phrase's other terms are
-intersected at their own offsets from there, read from the words around the
-posting. Postings of terms that are no phrase's rarest are never made, so the
+the phrase at p - offset, and the words around the posting are compared with the
+phrase from there. This takes the place of intersecting stored lists of the phrase's other terms: the
+matches are the same. Postings of terms that are no phrase's rarest are never made, so the
 very frequent words of a phrase cost nothing, and no list is gathered in one
 place: postings stream past the phrases, which are broadcast when counted to
 be at most ``broadcast_rows`` (of ``window`` words each), and are joined by term
