@@ -1,7 +1,8 @@
 """Lexical retrieval packing: windows of tokens filled with a seed document and its neighbours.
 
 Documents lie in shards: the partitions in which they are read, cut
-further at ``SHARD_BYTES`` of text. Each shard has its own BM25 inverted index: terms are words
+further at each Arrow batch and at ``SHARD_BYTES`` of text. A seed asks its own shard alone, so
+better neighbours in other shards are out of its reach. Each shard has its own BM25 inverted index: terms are words
 hashed to ``TERMS`` buckets, weighted by their number of documents over the whole
 corpus (one count for each bucket, a bounded table). The shard's next unused document is the
 seed of a window; all its terms are looked up in the index over their whole lists, and the
