@@ -8,14 +8,17 @@ runs and machines.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_P = 0x9E3779B97F4A7C15 | 1
-_Q = 0xC2B2AE3D27D4EB4F | 1
+_P, _Q = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
+#: Masks of the first n bytes of a lane, and the range length from which hashing goes range by range.
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
+LONG = 128
 #: Bytes of text handled at once; a longer document makes a chunk of its own.
 CHUNK_BYTES = 3 << 20
 
@@ -27,24 +30,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-class _Powers:
-    """Powers of an odd base modulo 2**64 and of its inverse, grown on demand."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up, self.down = np.ones(1, U64), np.ones(1, U64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        while len(self.up) < n:
-            k = len(self.up)
-            self.up = np.concatenate([self.up, self.up * U64(pow(self.base, k, 1 << 64))])
-            self.down = np.concatenate([self.down, self.down * U64(pow(self.inverse, k, 1 << 64))])
-        return self.up, self.down
-
-
-_bytes_powers, _word_powers = _Powers(_P), _Powers(_Q)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     x = x ^ (x >> U64(33))
@@ -115,23 +100,57 @@ class Words:
         return np.repeat(np.arange(self.n_docs), self.counts())
 
 
+def _lanes(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as one value, zeros behind the end."""
+    return np.ndarray(len(buf) + 1, "<u8", np.concatenate([buf, np.zeros(15, np.uint8)]), strides=(1,))
+
+
+def span_ends(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A second value of each byte range, from its size and its first and last eight bytes, to hold against span_hash."""
+    lanes, size = _lanes(buf), end - start
+    keep = _KEEP[np.minimum(size, 8)]
+    return mix((lanes[start] & keep) + _Q) * _P + (lanes[np.maximum(end - 8, start)] & keep) + size.astype(U64)
+
+
 def span_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte range."""
-    up, down = _bytes_powers.get(len(buf) + 1)
-    total = np.zeros(len(buf) + 1, U64)
-    np.cumsum(buf.astype(U64) * up[: len(buf)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(U64) * U64(0x632BE59BD9B4E019))
+    """64-bit hash of each byte range: its eight-byte lanes, each mixed into the state before.
+
+    Ranges of one length up to eight bytes never collide. Ranges over ``LONG`` bytes go through BLAKE2.
+    """
+    size = end - start
+    state = mix(size.astype(U64) * _P)
+    lanes, short = _lanes(buf), size <= LONG
+    at, live = 0, np.flatnonzero(short & (size > 0))
+    while len(live):
+        rest = np.minimum(size[live] - at, 8).astype(np.int64)
+        state[live] = mix(state[live] ^ (lanes[start[live] + at] & _KEEP[rest]))
+        at += 8
+        live = live[size[live] > at]
+    for i in np.flatnonzero(~short):
+        state[i] = int.from_bytes(hashlib.blake2b(buf[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return state
+
+
+def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hash of two hashes in this order."""
+    return mix(mix(left + _P) * _Q + right)
 
 
 def shingles(words: np.ndarray, k: int) -> np.ndarray:
-    """Hash of each run of k values; run i starts at value i."""
-    n = len(words)
-    if n < k:
+    """Hash of each run of k values; run i starts at value i. Runs are joined from runs of powers of two."""
+    n = len(words) - k + 1
+    if n < 1:
         return np.zeros(0, U64)
-    up, down = _word_powers.get(n + 1)
-    total = np.zeros(n + 1, U64)
-    np.cumsum(words * up[:n], out=total[1:])
-    return mix((total[k:] - total[:-k]) * down[: n - k + 1] + U64(k))
+    out, done, power, size = None, 0, words, 1
+    while True:
+        if k & size:
+            own = power[done : done + n]
+            out = own if out is None else _joined(out, own)
+            done += size
+        if done == k:
+            return mix(out + U64(k))
+        power = _joined(power[:-size], power[size:])
+        size *= 2
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:

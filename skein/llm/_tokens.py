@@ -3,7 +3,7 @@
 A text is cut at places where the tokenizer's own splitting always has a
 boundary, so the ids of a text are those of its units in a row. Units repeat;
 each distinct one is encoded once by the tokenizers library and then found by
-its 64-bit hash, a table look-up for a whole batch at once. A text that holds
+its 64-bit hash (its size and end bytes are compared too), a table look-up for a whole batch at once. A text that holds
 the start of a special token's string is encoded by the library as a whole.
 """
 
@@ -14,7 +14,7 @@ from itertools import chain
 
 import numpy as np
 
-from ._text import U64, span_hash
+from ._text import U64, span_ends, span_hash
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -88,23 +88,25 @@ class Encoder:
     def _clear(self) -> None:
         self.slot_hash = np.zeros((2, self.SLOTS), U64)
         self.slot_unit = np.full((2, self.SLOTS), -1, np.int32)
-        self.ids, self.n_ids = np.zeros(1 << 16, np.uint16), 0
+        self.slot_check = np.zeros((2, self.SLOTS), U64)
+        self.ids, self.n_ids = np.zeros(1 << 16, np.uint32), 0
         self.first, self.size, self.n_units = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32), 0
 
     def _slots(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         mask = U64(self.SLOTS - 1)
         return (h & mask).astype(np.int64), ((h >> U64(32)) & mask).astype(np.int64)
 
-    def _find(self, h: np.ndarray) -> np.ndarray:
+    def _find(self, h: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """Number of each unit, by its hash, held against its size and end bytes; -1 if unknown."""
         a, b = self._slots(h)
-        out = np.where(self.slot_hash[0][a] == h, self.slot_unit[0][a], -1)
+        out = np.where((self.slot_hash[0][a] == h) & (self.slot_check[0][a] == check), self.slot_unit[0][a], -1)
         miss = np.flatnonzero(out < 0)
         if len(miss):
-            hb, bb = h[miss], b[miss]
-            out[miss] = np.where(self.slot_hash[1][bb] == hb, self.slot_unit[1][bb], -1)
+            hb, cb, bb = h[miss], check[miss], b[miss]
+            out[miss] = np.where((self.slot_hash[1][bb] == hb) & (self.slot_check[1][bb] == cb), self.slot_unit[1][bb], -1)
         return out
 
-    def _learn(self, texts: list[str], h: np.ndarray) -> np.ndarray:
+    def _learn(self, texts: list[str], h: np.ndarray, check: np.ndarray) -> np.ndarray:
         """Encode new units; their numbers."""
         flat, size = self._encoded(texts)
         while self.n_ids + len(flat) > len(self.ids):
@@ -120,6 +122,7 @@ class Encoder:
         taken = self.slot_unit[0][a] >= 0
         for k, at, w in ((0, a, np.flatnonzero(~taken)), (1, b, np.flatnonzero(taken))):
             self.slot_hash[k][at[w]] = h[w]
+            self.slot_check[k][at[w]] = check[w]
             self.slot_unit[k][at[w]] = own[w]
         return own
 
@@ -140,21 +143,21 @@ class Encoder:
         for k, e in zip(rest, self.tokenizer.encode_batch([texts[k] for k in rest], add_special_tokens=False)):
             parts[k] = e.ids
         size = np.fromiter(map(len, parts), np.int32, len(parts))
-        return np.fromiter(chain.from_iterable(parts), np.uint16, int(size.sum())), size
+        return np.fromiter(chain.from_iterable(parts), np.uint32, int(size.sum())), size
 
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the documents of a chunk in a row (uint16), and where each document's start (n + 1)."""
+        """All ids of the documents of a chunk in a row (uint32), and where each document's start (n + 1)."""
         if self.n_units > self.most:
             self._clear()
         start = unit_starts(buf, offs, self.keeps_space)
         end = np.r_[start[1:], len(buf)][: len(start)]
-        h = span_hash(buf, start, end)
-        unit = self._find(h)
+        h, check = span_hash(buf, start, end), span_ends(buf, start, end)
+        unit = self._find(h, check)
         miss = np.flatnonzero(unit < 0)
         if len(miss):
-            new, where, back = np.unique(h[miss], return_index=True, return_inverse=True)
+            new, where, back = np.unique(np.stack([h[miss], check[miss]]), axis=1, return_index=True, return_inverse=True)
             at = miss[where]
-            unit[miss] = self._learn([buf[s:e].tobytes().decode() for s, e in zip(start[at], end[at])], new)[back]
+            unit[miss] = self._learn([buf[s:e].tobytes().decode() for s, e in zip(start[at], end[at])], new[0], new[1])[back.reshape(-1)]
         size = self.size[unit]
         total = np.r_[0, np.cumsum(size, dtype=np.int64)]
         pos = np.arange(total[-1]) - np.repeat(total[:-1] - self.first[unit], size)
@@ -163,7 +166,7 @@ class Encoder:
         if whole:
             parts = [ids[bounds[d] : bounds[d + 1]] for d in range(len(offs) - 1)]
             for d in whole:
-                parts[d] = np.array(self.tokenizer.encode(buf[offs[d] : offs[d + 1]].tobytes().decode(), add_special_tokens=False).ids, np.uint16)
+                parts[d] = np.array(self.tokenizer.encode(buf[offs[d] : offs[d + 1]].tobytes().decode(), add_special_tokens=False).ids, np.uint32)
             ids, bounds = np.concatenate(parts), np.r_[0, np.cumsum([len(p) for p in parts])]
         return ids, bounds
 

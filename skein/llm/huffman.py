@@ -129,7 +129,7 @@ class Decoder:
 
 
 def block_payload(doc_ids: list, parts: list[np.ndarray], codes: np.ndarray, lengths: np.ndarray) -> bytes:
-    ids = np.concatenate(parts) if parts else np.zeros(0, np.uint16)
+    ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
     bits, at = pack_bits(ids, codes, lengths)
     return b"".join([
         b"SKH1",
