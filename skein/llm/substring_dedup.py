@@ -317,8 +317,10 @@ def substring_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", t
     rows = single.select("_id", "_row", F.explode("_prints").alias("_print"))
     repeated = rows.groupBy("_print").agg(F.min("_id").alias("_group"), F.max("_id").alias("_last"), F.count("*").alias("_docs")).where("_group < _last")
     wanted = rows.join(repeated.select("_print", "_group", ((F.col("_docs") > hot).cast("int") + (F.col("_docs") > VERY_HOT).cast("int")).alias("_hot")), "_print").groupBy("_id", "_row").agg(F.collect_list(F.struct("_print", "_group", "_hot")).alias("_cand"))
+    # the rows with an id are dealt once: both joins below take the same shuffle of them
+    dealt = keyed.where("_id is not null")
     stretches = (
-        keyed.join(wanted, ["_id", "_row"])
+        dealt.join(wanted, ["_id", "_row"])
         .select("_id", "_row", "_text", "_cand")
         .mapInArrow(_stretches(length, k), "_id long, _row long, _group long, _hot boolean, _at array<int>, _n int, _words binary")
         .withColumn("_key", F.unhex(F.md5("_words")))
@@ -340,9 +342,10 @@ def substring_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", t
         .groupBy("_id", "_row")
         .agg(F.flatten(F.collect_list("_spans")).alias("_spans"))
     )
+    found = dealt.join(spans, ["_id", "_row"], "left").join(copies, ["_id", "_row"], "left")
+    unnamed = keyed.where("_id is null").select("*", F.lit(None).cast(_SPANS).alias("_spans"), F.lit(None).cast("boolean").alias("_copy"))
     return (
-        keyed.join(spans, ["_id", "_row"], "left")
-        .join(copies, ["_id", "_row"], "left")
+        found.unionByName(unnamed)
         .select("_id", "_row", "_text", "_spans", F.coalesce("_copy", F.lit(False)).alias("_copy"))
         .mapInArrow(_cut(length), f"_id long, _row long, n_words long, n_removed long, kept_sha256 string, _kept string, _ranges {_SPANS}")
     )
