@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm._shared import recorded, removed, written
+from skein.llm._shared import recorded, released, removed, written
 from skein.llm.decontamination import decontaminate
 from skein.llm.line_quality import line_quality
 from skein.llm.ngram_join import ngram_components
@@ -27,17 +27,11 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 BROADCAST_KEYS = 500_000
 
 
-#: Scratch tables of the stage called last. They go when the next stage is called, whose docs are that one's written result.
-_LEFT: list[str] = []
-
-
 def _stage(f: Stage) -> Stage:
     @wraps(f)
     def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parent))
-        removed(spark, _LEFT)
-        with recorded(_LEFT):
-            return f(spark, docs, sf_dir)
+        return f(spark, docs, sf_dir)
 
     return call
 
@@ -48,12 +42,18 @@ def _counted(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
 
 
-def _row(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_row", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+def _packed(docs: DataFrame) -> DataFrame:
+    """Each row as one struct beside _id and _row (hash of the text), so no column of ``docs`` can clash with a stage's own."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text).alias("_row"))
 
 
 def _same_row() -> Column:
-    return F.expr("doc_id <=> _id and _row = _gone_row")
+    return F.expr("_id <=> _gone_id and _row = _gone_row")
+
+
+def _gone(found: DataFrame) -> DataFrame:
+    return found.select(F.col("_id").alias("_gone_id"), F.col("_row").alias("_gone_row"))
 
 
 def _as_before(found: DataFrame, docs: DataFrame) -> DataFrame:
@@ -71,29 +71,30 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 @_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component: the one with the smallest id."""
-    found = written(ngram_components(docs).select("_id", F.col("_row").alias("_gone_row"), "_first", "n_shingles"), "components")
-    each = found.where("n_shingles > 0").groupBy("_id", "_gone_row").agg(F.max("_first").alias("_first"), F.count("*").alias("_rows"))
-    left = _row(docs).join(_counted(each.where("not _first").select("_id", "_gone_row")), _same_row(), "left_anti")
-    again = _counted(each.where("_first and _rows > 1").select("_id", "_gone_row"))
+    found = written(ngram_components(docs).select("_id", "_row", "_first", "n_shingles"), "components")
+    each = found.where("n_shingles > 0").groupBy("_id", "_row").agg(F.max("_first").alias("_first"), F.count("*").alias("_rows"))
+    left = _packed(docs).join(_counted(_gone(each.where("not _first"))), _same_row(), "left_anti")
+    again = _counted(_gone(each.where("_first and _rows > 1")))
     if not again.isEmpty():  # rows that repeat the one to keep, id and text
-        left = left.join(again, _same_row(), "left_anti").unionByName(left.join(again, _same_row(), "left_semi").dropDuplicates(["doc_id", "_row"]))
-    return left.select(*(F.col(f"`{c}`") for c in docs.columns))
+        left = left.join(again, _same_row(), "left_anti").unionByName(left.join(again, _same_row(), "left_semi").dropDuplicates(["_id", "_row"]))
+    return left.select("doc.*")
 
 
 @_stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 50 words and more that an earlier document holds; a text of nothing else goes."""
-    cut = substring_dedup(docs).where("n_removed > 0").select("_id", F.col("_row").alias("_cut_row"), "_kept", (F.col("n_removed") == F.col("n_words")).alias("_all")).dropDuplicates(["_id", "_cut_row"])
-    joined = _row(docs).join(cut, (F.col("doc_id") == F.col("_id")) & (F.col("_row") == F.col("_cut_row")), "left")
-    return _as_before(joined.where("not coalesce(_all, false)").withColumn("text", F.coalesce("_kept", "text")), docs)
+    cut = substring_dedup(docs).where("n_removed > 0").select(F.col("_id").alias("_gone_id"), F.col("_row").alias("_gone_row"), "_kept", (F.col("n_removed") == F.col("n_words")).alias("_all")).dropDuplicates(["_gone_id", "_gone_row"])
+    joined = _packed(docs).join(cut, F.expr("_id = _gone_id and _row = _gone_row"), "left").where("not coalesce(_all, false)")
+    text = F.coalesce(F.col("_kept"), F.col("doc.text")).alias("text")
+    return _as_before(joined.select(*(text if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns)), docs)
 
 
 @_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no test passage of weight."""
     tests = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    gone = _counted(decontaminate(docs, tests).where("contaminated").select("_id", F.col("_row").alias("_gone_row")).distinct())
-    return _row(docs).join(gone, _same_row(), "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    gone = _counted(_gone(decontaminate(docs, tests).where("contaminated").select("_id", "_row").distinct()))
+    return _packed(docs).join(gone, _same_row(), "left_anti").select("doc.*")
 
 
 @_stage
@@ -115,7 +116,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        scratch: list[str] = []
+        with recorded(scratch):
+            found = stage(spark, docs, sf_dir)
+        docs = written(found, name.replace(" ", "-"))
+        removed(spark, scratch)  # what the stage wrote on its way, and the table that it read
+        if last is not None:
+            released(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
