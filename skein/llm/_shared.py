@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a local session has a local one; a cluster must set it."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.gettempdir() + "/skein-shared"
     return path.rstrip("/")
 
@@ -47,7 +49,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     if _recorders:
         _recorders[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Remove written tables that no later step reads."""
+    for t in tables:
+        removed(t.sparkSession, [t._scratch])
 
 
 def columns_as(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -170,6 +170,69 @@ def test_cached_tokens_equal_the_library(name, keeps):
             assert ids[a:b].tolist() == enc(t)[:-1], t
 
 
+def _thue_morse(n):
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_hashes_of_structured_words_differ():
+    from skein.llm._text import Words, shingles, span_ends, text_buffers
+    from skein.llm._tokens import Encoder
+
+    for n in range(4, 12):
+        pair = _thue_morse(n)
+        buf, offs = text_buffers(pa.array(pair))
+        w = Words(buf, offs)
+        assert w.hash[0] != w.hash[1] and len(set(span_ends(buf, w.start, w.end).tolist())) == 2
+        runs = Words(*text_buffers(pa.array([" ".join(x) for x in pair])))
+        for k in (2**n, 2 ** (n - 1)):
+            both = [shingles(runs.hash[a:e], k)[0] for a, e in zip(runs.first[:-1], runs.first[1:])]
+            assert both[0] != both[1]
+    e, enc = Encoder(public_tokenizers.path("byte_bpe_50k.json"), True), _encoded("byte_bpe_50k.json", 0)
+    for t in _thue_morse(10):
+        assert e.encode(*text_buffers(pa.array([t])))[0].tolist() == enc(t)[:-1]
+    rng = random.Random(3)
+    words = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 300))) for _ in range(3000)]
+    w = Words(*text_buffers(pa.array([" ".join(words)])))
+    assert len(set(w.hash.tolist())) == len(set(words))
+
+
+def test_structured_words_do_not_link(spark):
+    from skein.llm.line_quality import line_quality
+    from skein.llm.ngram_join import ngram_components
+
+    a, b = _thue_morse(10)
+    d = spark.createDataFrame([(1, a), (2, b), (3, f"{a} x y z w"), (4, f"{b} x y z w"), (5, f"{a}\n{b}\n{a}")], "doc_id long, text string")
+    assert {r._id: r.component_id for r in ngram_components(d).collect()} == {i: i for i in range(1, 6)}
+    assert {r.doc_id: r.n_dup_lines for r in line_quality(d).collect()}[5] == 1
+
+
+@pytest.mark.parametrize("settings", [{}, {"STARS": 0, "RARE": 1}, {"STARS": 0, "RARE": 1, "SHORT": 8}, {"STARS": 0, "RARE": 4, "SHORT": 40, "EXTEND": 16}, {"STARS": 1}])
+def test_ngram_components_of_large_groups(spark, settings, monkeypatch):
+    """Groups of edited copies of a few texts, and texts that share long passages only, against brute force."""
+    from skein.llm import ngram_join
+
+    for k, v in settings.items():
+        monkeypatch.setattr(ngram_join, k, v)
+    rng = random.Random(8)
+    bases = [[f"w{rng.randrange(5000)}" for _ in range(n)] for n in (30, 90, 200, 400)]
+    passage, rows = [f"p{k}" for k in range(60)], []
+    for k in range(260):
+        w = list(rng.choice(bases))
+        for _ in range(rng.choice([0, 1, 2, 3, 4, 6, 12]) * len(w) // 100 + rng.choice([0, 1])):
+            at = rng.randrange(len(w))
+            w[at : at + rng.randint(0, 2)] = [f"e{rng.randrange(400)}" for _ in range(rng.randint(0, 2))]
+        if k % 5 == 0:
+            w = passage + w[: rng.randint(0, 60)]
+        rows.append((k, " ".join(w)))
+    found = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    expected = X.component_reference(rows)
+    assert 20 < len({c for _, _, c in expected}) < 250
+    same([(r._id, r.n_shingles, r.component_id) for r in found], expected)
+
+
 @pytest.mark.parametrize("settings", [{}, {"STARS": 0, "RARE": 1}, {"STARS": 0, "RARE": 3}])
 def test_ngram_components(docs, pairs, settings, monkeypatch):
     from skein.llm import ngram_join
