@@ -184,4 +184,5 @@ def line_quality(docs: DataFrame, rules: Rules | None = None, text_col: str = "t
                 yield pa.RecordBatch.from_arrays(cols + [pa.array(figures[c]) for c in names.values()], [*passed, *names])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in passed)
-    return docs.select(*(F.col(f"`{c}`") for c in passed)).mapInArrow(run, kinds + ", " + ", ".join(f"`{n}` {'boolean' if c in ('base_failed', 'kept') else 'long'}" for n, c in names.items()))
+    # passed by place: mapInArrow does not take names with dots
+    return docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(passed))).mapInArrow(run, kinds + ", " + ", ".join(f"`{n}` {'boolean' if c in ('base_failed', 'kept') else 'long'}" for n, c in names.items()))

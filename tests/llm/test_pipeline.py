@@ -88,5 +88,24 @@ def test_packing(stages):
     assert sum(sum(n for _, n in s) == 1024 for s in filled.values()) >= len(filled) - after.rdd.getNumPartitions()
 
 
+def test_clashing_columns(stages, spark, sf_dir):
+    """Columns named as the stages name their own come through unchanged."""
+    from pyspark.sql import functions as F
+
+    for name, stage in pipeline.STAGES[:-1]:
+        before, after = stages[name]
+        extra = {c: F.lit(k) for k, c in enumerate(("_id", "_row", "_text", "_kept", "n_words", "_gone_id", "doc", "a.b"))}
+        found = stage(spark, before.withColumns(extra), sf_dir)
+        assert found.columns == before.columns + list(extra)
+        assert collections.Counter(r[:2] for r in _rows(found)) == collections.Counter(r[:2] for r in _rows(after)), name
+        assert {r[5:] for r in _rows(found)} == {tuple(range(len(extra)))}
+
+
+def test_empty_table(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, docs, sf_dir).count() == 0
+
+
 def test_run(spark, sf_dir):
     assert pipeline.run(spark, sf_dir).count() > 0
