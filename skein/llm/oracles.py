@@ -17,6 +17,21 @@ kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS t, count(*) AS n F
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
 """
 
+OP2 = r"""
+WITH u AS (SELECT page_id, html, md5(coalesce(html, '')) AS h, page_id % 4 AS nth, regexp_extract(url, '^\s*(?i:https?)://(?:[^/?#@]*@)?([^/?#:@]+)(?::([0-9]*))?(/[^?#]*)?(?:\?([^#]*))?', ['host', 'port', 'path', 'query']) AS x, regexp_matches(url, '^\s*(?i:https?)://(?:[^/?#@]*@)?[^/?#:@]+') AS ok FROM pages),
+q AS (SELECT *, list_sort(list_filter(string_split(regexp_replace(x.query, '\s+$', ''), '&'), lambda p: p <> '' AND NOT list_contains(['utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'gclid', 'fbclid', 'ref', 'sid', 'phpsessid', 'jsessionid'], lower(split_part(p, '=', 1))))) AS params FROM u),
+c AS (SELECT page_id, html, h, nth, CASE WHEN ok THEN regexp_replace(lower(x.host), '^www[0-9]*\.', '') || CASE WHEN x.port IN ('', '80', '443') THEN '' ELSE ':' || x.port END || '/' || regexp_replace(x.path, '^/+|/+$', '', 'g') || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END END AS canonical_url FROM q),
+mark AS (SELECT *, CASE WHEN nth IN (0, 2) THEN 'etag:"' || h || '"' WHEN nth = 1 THEN 'last-modified:' || h END AS own FROM c),
+rec AS (SELECT page_id AS record_id, 'response' AS kind, canonical_url, page_id * 2 AS t, h, nth, html FROM mark UNION ALL SELECT page_id, 'revisit', canonical_url, page_id * 2 + 1001, h, nth, NULL FROM mark),
+w AS (SELECT record_id, kind, canonical_url, t, h, nth, html, last_value(CASE WHEN kind = 'response' THEN record_id END IGNORE NULLS) OVER (PARTITION BY canonical_url ORDER BY t, record_id, kind DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM rec),
+j AS (SELECT w.*, m.own AS s_own, m.h AS s_h, m.nth AS s_nth, m.html AS s_html, n.own FROM w LEFT JOIN mark m ON m.page_id = w.r AND w.kind = 'revisit' AND w.canonical_url IS NOT NULL JOIN mark n ON n.page_id = w.record_id),
+s AS (SELECT *, CASE WHEN kind = 'response' THEN 'full' WHEN canonical_url IS NULL THEN 'no_url' WHEN s_h IS NULL THEN 'no_earlier' WHEN CASE WHEN nth = 3 THEN s_nth = 3 AND h = s_h ELSE own IS NOT DISTINCT FROM s_own END THEN 'resolved' ELSE 'validator_mismatch' END AS state FROM j),
+o AS (SELECT *, CASE WHEN state = 'full' THEN list_filter(['content-type:text/html', 'content-length:' || strlen(coalesce(html, '')), 'cache-control:max-age=60', 'server:a', own], lambda x: x IS NOT NULL)
+  WHEN state = 'resolved' THEN list_filter(['content-type:text/html', 'content-length:' || strlen(coalesce(s_html, '')), 'server:a', 'cache-control:max-age=600', 'x-cache:hit', CASE WHEN own IS NULL THEN s_own WHEN nth = 2 THEN replace(own, 'etag:', 'etag:W/') ELSE own END], lambda x: x IS NOT NULL)
+  ELSE list_filter(['content-length:0', 'cache-control:max-age=600', 'connection:close, X-Hop', 'x-hop:1', 'x-cache:hit', CASE WHEN nth = 2 THEN replace(own, 'etag:', 'etag:W/') ELSE own END], lambda x: x IS NOT NULL) END AS lines, coalesce(CASE WHEN state = 'full' THEN html WHEN state = 'resolved' THEN s_html END, '') AS body FROM s)
+SELECT record_id, kind, canonical_url, state, CASE WHEN state = 'resolved' THEN r END AS response_id, CAST(CASE WHEN state IN ('full', 'resolved') THEN 200 ELSE 304 END AS BIGINT) AS status, sha256(array_to_string(list_sort(lines), chr(10))) AS headers_sha256, CAST(length(body) AS BIGINT) AS n_chars, sha256(body) AS body_sha256 FROM o
+"""
+
 _PHRASE = " OR ".join(f"contains(folded, '{p}')" for p in _BOILERPLATE)
 
 OP3 = rf"""

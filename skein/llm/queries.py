@@ -31,6 +31,15 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("_id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
+def op2_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc_revisit import captures_of_pages, resolve_revisits
+
+    found = resolve_revisits(captures_of_pages(_table(spark, sf_dir, "pages")))
+    lines = F.transform("headers", lambda h: F.concat_ws(":", F.lower(h["name"]), h["value"]))
+    body = F.coalesce("body", F.lit(""))
+    return found.select("record_id", "kind", "canonical_url", "state", "response_id", F.col("status").cast("long").alias("status"), F.sha2(F.array_join(F.array_sort(lines), "\n"), 256).alias("headers_sha256"), F.length(body).cast("long").alias("n_chars"), F.sha2(body, 256).alias("body_sha256"))
+
+
 def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_quality(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.drop("text")
@@ -76,6 +85,7 @@ def op10_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_warc_revisit": op2_warc_revisit,
     "op3_line_quality": op3_line_quality,
     "op4_huffman_token_ids": op4_huffman_token_ids,
     "op5_ngram_join": op5_ngram_join,
@@ -89,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: DuckDB SQL for the queries that SQL can express on whole tables.
 SQL: dict[str, str] = {
     "op1_substring_dedup": oracles.OP1,
+    "op2_warc_revisit": oracles.OP2,
     "op3_line_quality": oracles.OP3,
     "op5_ngram_join": oracles.OP5,
     "op9_decontamination": r"""
