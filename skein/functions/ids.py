@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 # Id prefixes by kind; the wider set that synthesis knows; season names.
 PREFIX_OF = {"character": "char", "location": "loc", "faction": "faction", "item": "item", "creature": "creature", "concept": "concept"}
 KIND_OF = {**{p: t for t, p in PREFIX_OF.items()}, "npc": "character", "entity": "unknown"}
-SEASON_NOW = {"autumn": "fall", "midwinter": "mid_winter", "midsummer": "summer", "midspring": "spring", "midfall": "fall", "deep_winter": "mid_winter", "deep_summer": "summer"}
+SEASON_NOW = {
+    "autumn": "fall", "early_autumn": "early_fall", "mid_autumn": "fall", "late_autumn": "late_fall", "mid_spring": "spring", "mid_summer": "summer", "mid_fall": "fall",
+    "midwinter": "mid_winter", "midsummer": "summer", "midspring": "spring", "midfall": "fall", "deep_winter": "mid_winter", "deep_summer": "summer",
+}
 SEASON_LINE = {"spring": "mid_spring", "summer": "mid_summer", "fall": "mid_autumn", "autumn": "mid_autumn", "winter": "mid_winter"}
 
 
@@ -26,12 +29,15 @@ def kind(entity_id: Column, default: str = "unknown") -> Column:
     return F.coalesce(mapped(F.regexp_extract(entity_id, r"^([a-z]+)-", 1), KIND_OF), F.lit(default))
 
 
+def type_of_prefix(entity_id: Column, default: str | None = "character") -> Column:
+    """The type that owns the id's prefix; ``default`` for any other."""
+    return F.coalesce(mapped(F.regexp_extract(entity_id, r"^([a-z]+)-", 1), {p: t for t, p in PREFIX_OF.items()}), F.lit(default))
+
+
 def fixed_prefix(entity_id: Column, type_: Column) -> Column:
-    """The id with the prefix of its type, in place of another known one or before it."""
+    """The id with the prefix of its type, in place of any other ``letters-`` or before it."""
     own = mapped(type_, PREFIX_OF)
-    known = "|".join(PREFIX_OF.values())
-    bare = F.regexp_replace(entity_id, rf"^({known})-", "")
-    return F.when(own.isNull(), entity_id).otherwise(F.concat_ws("-", own, bare))
+    return F.when(own.isNull(), entity_id).when(entity_id.startswith(F.concat(own, F.lit("-"))), entity_id).otherwise(F.concat_ws("-", own, stem(entity_id)))
 
 
 def name_of(entity_id: Column) -> Column:
@@ -45,7 +51,7 @@ def resolved(entity_id: Column, aliases: dict[str, str]) -> Column:
 
 
 def without_turn_tag(entity_id: Column) -> Column:
-    return F.regexp_replace(entity_id, r"-turn-\d+$", "")
+    return F.regexp_replace(entity_id, r"-turn-\d{3,}$", "")
 
 
 def season_of_state(name: Column) -> Column:

@@ -15,13 +15,18 @@ def event_dedup(s, d):
     return profiles.distinct_events(domain.events(s, d).withColumn("description", F.regexp_replace("description", r" by User\d+", "")))
 
 
-@query("entities", r""" SELECT id, regexp_replace(id, '^[a-z]+-', '') AS stem, CASE split_part(id, '-', 1) WHEN 'char' THEN 'character' WHEN 'loc' THEN 'location' ELSE split_part(id, '-', 1) END AS kind, CASE type WHEN 'character' THEN 'char-' WHEN 'location' THEN 'loc-' WHEN 'item' THEN 'item-' ELSE 'faction-' END || regexp_replace('item-' || id, '^item-', '') AS fixed, upper(regexp_replace(id, '^[a-z]+-', '')[1]) || replace(regexp_replace(id, '^[a-z]+-', '')[2:], '-', ' ') AS name_of FROM entities""")
+def _odd_ids(c):
+    """Ids of characters without prefix, of locations with an unknown one, of items as they are, of factions with two."""
+    return F.expr("case type when 'character' then replace(id, '-', '_') when 'location' then concat('npc-', replace(id, 'loc-', '')) when 'item' then id else concat('char-', replace(id, 'faction-', 'x-')) end")
+
+
+@query("entities", r""" SELECT id, regexp_replace(id, '^[a-z]+-', '') AS stem, CASE split_part(id, '-', 1) WHEN 'char' THEN 'character' WHEN 'loc' THEN 'location' ELSE split_part(id, '-', 1) END AS kind, CASE type WHEN 'character' THEN 'char-' || replace(id, '-', '_') WHEN 'location' THEN 'loc-' || replace(id, 'loc-', '') WHEN 'item' THEN id ELSE 'faction-' || replace(id, 'faction-', 'x-') END AS fixed, upper(regexp_replace(id, '^[a-z]+-', '')[1]) || replace(regexp_replace(id, '^[a-z]+-', '')[2:], '-', ' ') AS name_of FROM entities""")
 def id_helpers(s, d):
     e, c = domain.entities(s, d), F.col("id")
-    return e.select("id", ids.stem(c).alias("stem"), ids.kind(c).alias("kind"), ids.fixed_prefix(F.concat(F.lit("item-"), c), F.col("type")).alias("fixed"), ids.name_of(c).alias("name_of"))
+    return e.select("id", ids.stem(c).alias("stem"), ids.kind(c).alias("kind"), ids.fixed_prefix(_odd_ids(c), F.col("type")).alias("fixed"), ids.name_of(c).alias("name_of"))
 
 
-_RAW_SEASONS = "CASE doc_id % 8 WHEN 0 THEN 'Autumn' WHEN 1 THEN 'mid-winter' WHEN 2 THEN 'Late fall' WHEN 3 THEN 'deep winter' WHEN 4 THEN 'early_spring' WHEN 5 THEN ' Summer ' WHEN 6 THEN 'late autumn' ELSE 'monsoon' END"
+_RAW_SEASONS = "CASE doc_id % 13 WHEN 0 THEN 'Autumn' WHEN 1 THEN 'mid-winter' WHEN 2 THEN 'Late fall' WHEN 3 THEN 'deep winter' WHEN 4 THEN 'early_spring' WHEN 5 THEN ' Summer ' WHEN 6 THEN 'late autumn' WHEN 7 THEN 'mid_spring' WHEN 8 THEN 'mid summer' WHEN 9 THEN 'Mid-Autumn' WHEN 10 THEN 'midfall' WHEN 11 THEN 'indian autumn' ELSE 'monsoon' END"
 
 
 @query("", "SELECT 1")
@@ -32,7 +37,7 @@ def season_vocabularies(s, d):
 
 
 SQL["season_vocabularies"] = f"""WITH r AS (SELECT doc_id, {_RAW_SEASONS} AS raw FROM documents), f AS (SELECT doc_id, replace(replace(lower(trim(raw)), ' ', '_'), '-', '_') AS a, replace(lower(trim(raw)), ' ', '_') AS b FROM r),
-t AS (SELECT doc_id, CASE a WHEN 'autumn' THEN 'fall' WHEN 'deep_winter' THEN 'mid_winter' ELSE replace(a, 'autumn', 'fall') END AS state, CASE WHEN b LIKE 'early\\_%' ESCAPE '\\' OR b LIKE 'mid\\_%' ESCAPE '\\' OR b LIKE 'late\\_%' ESCAPE '\\' THEN CASE WHEN b IN ('early_fall', 'mid_fall', 'late_fall') THEN split_part(b, '_', 1) || '_autumn' ELSE b END
+t AS (SELECT doc_id, CASE WHEN a IN ('mid_spring', 'midspring') THEN 'spring' WHEN a IN ('mid_summer', 'midsummer', 'deep_summer') THEN 'summer' WHEN a IN ('autumn', 'mid_autumn', 'mid_fall', 'midfall') THEN 'fall' WHEN a IN ('deep_winter', 'midwinter') THEN 'mid_winter' ELSE replace(a, 'autumn', 'fall') END AS state, CASE WHEN b LIKE 'early\\_%' ESCAPE '\\' OR b LIKE 'mid\\_%' ESCAPE '\\' OR b LIKE 'late\\_%' ESCAPE '\\' THEN CASE WHEN b IN ('early_fall', 'mid_fall', 'late_fall') THEN split_part(b, '_', 1) || '_autumn' ELSE b END
   ELSE CASE b WHEN 'spring' THEN 'mid_spring' WHEN 'summer' THEN 'mid_summer' WHEN 'fall' THEN 'mid_autumn' WHEN 'autumn' THEN 'mid_autumn' WHEN 'winter' THEN 'mid_winter' ELSE b END END AS timeline FROM f)
 SELECT doc_id, state, timeline, array_to_string(list_transform(string_split(replace(timeline, '_', ' '), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS label FROM t"""
 
