@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from skein.functions.turns import normal_name
 
 
-def fuzzy_pairs(names: DataFrame, most: int = 2) -> DataFrame:
+def fuzzy_pairs(names: DataFrame, most: int = 2, raw: bool = False) -> DataFrame:
     """Pairs of ids (a < b) of one type whose names are within ``most`` edits.
 
     Blocks by deletion neighbourhoods would be wider than needed here: names within k edits
     share one of k + 1 pieces at a shifted place, so pieces meet by equality and only those pairs are measured.
+    raw: names are compared as they are, not normalised.
     """
-    n = names.select("id", "type", normal_name(F.col("name")).alias("name")).where("name <> ''")
+    n = names.select("id", "type", (F.col("name") if raw else normal_name(F.col("name"))).alias("name")).where("name <> ''")
     size = F.floor(F.char_length("name") / (most + 1))
     # left: its own pieces; right: every substring of a piece's size near the piece's place
     cut = F.expr(f"transform(sequence(0, {most}), k -> struct(k as k, int(k * floor(char_length(name) / {most + 1}) + 1) as at, if(k = {most}, char_length(name), int(floor(char_length(name) / {most + 1}))) as len))")
@@ -29,6 +30,112 @@ def fuzzy_pairs(names: DataFrame, most: int = 2) -> DataFrame:
     return close.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b"), F.col("distance").cast("bigint").alias("distance")).distinct()
 
 
+# Words of names that say nothing of who it is.
+FILLERS = "a an the of and with in on to figure material party bowl tool small large old new dark light some other".split()
+
+
+def _by_shared(parts: DataFrame, need: str, good: str) -> DataFrame:
+    """Pairs (a, b) of rows (id, type, parts) with enough parts in common, counted on the smaller set of the two.
+
+    need: SQL for the parts that a smaller set of size n must share; good: SQL over n (its size), k (shared).
+    Only the rarest n - need + 1 parts of a set are looked up, in all parts of the sets at least as large: a
+    pair that shares enough has one of them in common. So frequent words make no pairs unless a set has nothing rarer.
+    """
+    sized = parts.where(F.size("parts") > 0).withColumn("n", F.size("parts"))
+    each = sized.select("id", "type", "n", "parts", F.explode("parts").alias("part"))
+    df = each.groupBy("type", "part").agg(F.count("*").alias("df"))
+    w = Window.partitionBy("type", "id").orderBy("df", "part")
+    rare = each.join(df, ["type", "part"]).withColumn("_k", F.row_number().over(w)).where(F.expr(f"_k <= n - ({need}) + 1"))
+    met = rare.select("type", "part", F.col("id").alias("a"), "n", F.col("parts").alias("pa")).join(each.select("type", "part", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("parts").alias("pb")), ["type", "part"])
+    met = met.where("n < nb or (n = nb and a <> b)").withColumn("k", F.size(F.array_intersect("pa", "pb"))).where(good)
+    return met.select("a", "b").distinct()
+
+
+def same_entities(entities: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ids of one type that mean one entity, by any of six rules. entities: id, type, name, aliases (array).
+
+    A name or alias in common; two tokens at least of the smaller name, all in the other; all tokens of a smaller name of
+    two or one, half of a longer one's, in common (tokens without FILLERS); a name of four letters and more that begins
+    a token of the other; two parts at least of the smaller id, all in the other; ids' stems of six letters and more within
+    two edits, with the same first letter. Each rule meets its pairs by equality, none by a product.
+    """
+    own = entities.select("id", "type", F.lower(F.trim("name")).alias("name"), F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"))
+    keys = own.select("id", "type", F.explode(F.array_distinct(F.transform(F.concat(F.array("name"), "aliases"), lambda x: F.lower(F.trim(x))))).alias("key")).where("key <> ''")
+    first = keys.groupBy("type", "key").agg(F.min("id").alias("a"))
+    named = keys.join(first, ["type", "key"]).where("a <> id").select("a", F.col("id").alias("b"))
+
+    # equal names are linked above: one id stands for each name
+    one = own.where("name <> ''").groupBy("type", "name").agg(F.min("id").alias("id"))
+    tokens = F.array_except(F.filter(F.split(F.replace("name", F.lit("-"), F.lit(" ")), r"\s+"), lambda x: x != ""), F.array(*map(F.lit, FILLERS)))
+    by_token = _by_shared(one.select("id", "type", tokens.alias("parts")), "if(n <= 2, n, (n + 1) div 2)", "k = n and n <= 2 or n > 2 and 2 * k >= n")
+    begins = one.select("type", F.col("id").alias("b"), F.col("name").alias("long"), F.explode(F.array_distinct(F.filter(F.split(F.replace("name", F.lit("-"), F.lit(" ")), r"\s+"), lambda t: F.char_length(t) > 4))).alias("t"))
+    begins = begins.select("type", "b", F.explode(F.transform(F.sequence(F.lit(4), F.char_length("t") - 1), lambda k: F.substring("t", F.lit(1), k))).alias("name")).distinct()
+    by_start = one.select("type", "name", F.col("id").alias("a")).join(begins, ["type", "name"]).where("a <> b").select("a", "b")
+
+    stem = F.regexp_replace("id", "^[^-]*-", "")
+    stems = own.select("id", "type", stem.alias("name")).where("name <> ''")
+    by_part = _by_shared(stems.select("id", "type", F.array_distinct(F.split("name", "-")).alias("parts")), "n", "k = n and n >= 2")
+    near = fuzzy_pairs(stems.where(F.char_length("name") >= 6), 2, raw=True)
+    first_letter = F.substring(F.regexp_replace(F.col("a"), "^[^-]*-", ""), 1, 1) == F.substring(F.regexp_replace(F.col("b"), "^[^-]*-", ""), 1, 1)
+    both = named.unionByName(by_token).unionByName(by_start).unionByName(by_part).unionByName(near.where(first_letter).select("a", "b"))
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def merged_catalog(entities: DataFrame) -> DataFrame:
+    """(id, survivor) of every entity (id, type, name, aliases, first_seen) that is merged: the survivor is the one seen first, the least id of equals."""
+    groups = components(same_entities(entities)).join(entities.select("id", "first_seen"), "id")
+    best = groups.groupBy("survivor").agg(F.min_by("id", F.struct(F.coalesce("first_seen", F.lit(-1)), "id")).alias("keep"))
+    return groups.join(best, "survivor").where("id <> keep").select("id", F.col("keep").alias("survivor"))
+
+
+def audit_pairs(entities: DataFrame, targets: DataFrame) -> DataFrame:
+    """Pairs (a, b, reason) of ids of one prefix to be looked at: names within 3 edits, one name within the other, or, of entities seen
+    first in the same turn, similar names. Pairs of entities with three targets and more each that share under half are no candidates.
+
+    entities: id, name, first_seen; targets: id, target_id. Similar names of one turn are compared in groups of one turn and prefix.
+    """
+    own = entities.select("id", F.regexp_extract("id", "^([a-z]+)-", 1).alias("type"), normal_name(F.col("name")).alias("name"), "first_seen").where("type <> '' and name <> ''")
+    near = fuzzy_pairs(own.select("id", "type", "name"), 3, raw=True).where("distance > 0").select("a", "b", F.lit(0).alias("rank"), F.concat(F.lit("edit_distance="), "distance").alias("reason"))
+    # a name within another: every substring of the longer one as long as some name is, by equality
+    sizes = own.where(F.char_length("name") >= 3).groupBy("type").agg(F.array_sort(F.collect_set(F.char_length("name"))).alias("sizes"))
+    subs = own.join(sizes, "type").select("type", F.col("id").alias("b"), F.explode(F.array_distinct(F.flatten(F.transform(F.filter("sizes", lambda n: n <= F.char_length("name")), lambda n: F.transform(F.sequence(F.lit(1), F.char_length("name") - n + 1), lambda i: F.substring("name", i, n)))))).alias("name"))
+    within = own.select("type", "name", F.col("id").alias("a")).join(subs, ["type", "name"]).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(1).alias("rank"), F.lit("substring").alias("reason")).distinct()
+
+    def alike(pdf):
+        import pandas as pd
+        from difflib import SequenceMatcher
+
+        rows = sorted(zip(pdf["id"], pdf["name"]))
+        found = [(i, j, r) for k, (i, x) in enumerate(rows) for j, y in rows[k + 1 :] if (r := SequenceMatcher(None, x, y).ratio()) >= 0.6]
+        return pd.DataFrame([(i, j, 2, f"same_turn+similar(ratio={r:.2f})") for i, j, r in found], columns=["a", "b", "rank", "reason"])
+
+    similar = own.where("first_seen is not null").groupBy("type", "first_seen").applyInPandas(alike, "a string, b string, rank int, reason string")
+    every = near.unionByName(within).unionByName(similar).groupBy("a", "b").agg(F.min_by("reason", "rank").alias("reason"))
+    t = targets.groupBy("id").agg(F.collect_set("target_id").alias("t"))
+    met = every.join(t.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a", "left").join(t.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b", "left")
+    apart = (F.size("ta") >= 3) & (F.size("tb") >= 3) & (2 * F.size(F.array_intersect("ta", "tb")) < F.least(F.size("ta"), F.size("tb")))
+    return met.where(~F.coalesce(apart, F.lit(False))).select("a", "b", "reason")
+
+
+def judged_pairs(scored: DataFrame, merge_from: float = 0.9, review_from: float = 0.6) -> DataFrame:
+    """Scored pairs (a, b, same, confidence, canonical) with an action: merge, review or discard; confidence is held to 0..1."""
+    sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("confidence", F.lit(0.0))))
+    action = F.when(~F.coalesce("same", F.lit(False)) | (sure < review_from), "discard").when(sure >= merge_from, "merge").otherwise("review")
+    keep = F.when(F.col("canonical").isin(F.col("a"), F.col("b")), F.col("canonical")).otherwise(F.col("a"))
+    return scored.select("a", "b", sure.alias("confidence"), keep.alias("canonical"), F.when(keep == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("variant"), action.alias("action"))
+
+
+def hinted_merges(entities: DataFrame, hints: DataFrame) -> DataFrame:
+    """(id, survivor) by coreference hints (canonical_id, variant_ids, variant_names): entities of the canonical's type with such an
+    id or name. Hints whose canonical entity is missing do nothing; an entity goes to the least canonical id that claims it."""
+    there = hints.join(entities.select(F.col("id").alias("canonical_id"), "type"), "canonical_id")
+    ids = there.select("canonical_id", "type", F.explode("variant_ids").alias("id"))
+    names = there.select("canonical_id", "type", F.explode("variant_names").alias("_v")).select("canonical_id", "type", F.lower(F.trim("_v")).alias("key")).where("key <> ''")
+    by_id = entities.select("id", "type").join(ids, ["id", "type"]).select("id", "canonical_id")
+    by_name = entities.select("id", "type", F.lower(F.trim("name")).alias("key")).join(names, ["key", "type"]).select("id", "canonical_id")
+    return by_id.unionByName(by_name).where("id <> canonical_id").groupBy("id").agg(F.min("canonical_id").alias("survivor"))
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """(id, survivor): the least id that each id of the pairs reaches, by neighbours' labels and label jumps."""
     from skein.sources.scratch import written

@@ -190,7 +190,7 @@ def normal_locations(s, d):
 _RAW_ID = "CASE c_custkey % 6 WHEN 0 THEN 'CHAR-customer-' || c_custkey WHEN 1 THEN 'customer-' || c_custkey WHEN 2 THEN 'char-custmer-' || c_custkey || 'x' WHEN 3 THEN 'loc-' || c_custkey WHEN 4 THEN 'npc-newcomer' || c_custkey ELSE 'char-zzcustomer' || c_custkey END"
 
 
-@query("", f"""WITH known AS (SELECT 'char-customer-' || c_custkey AS id FROM customer WHERE c_custkey <= 60 UNION ALL SELECT 'loc-nation-' || n_nationkey FROM nation), r AS (SELECT DISTINCT {_RAW_ID} AS raw FROM customer WHERE c_custkey <= 90),
+@query("", f"""WITH known AS (SELECT 'char-customer-' || c_custkey AS id FROM customer UNION ALL SELECT 'loc-nation-' || n_nationkey FROM nation), r AS (SELECT DISTINCT {_RAW_ID} AS raw FROM customer),
 n AS (SELECT raw, CASE WHEN regexp_matches(lower(raw), '^(char|loc|faction|item|creature|concept)-') THEN lower(raw) ELSE 'char-' || regexp_replace(lower(raw), '^[a-z]+-', '') END AS id FROM r),
 p AS (SELECT raw, n.id, known.id AS kid, regexp_replace(n.id, '^[a-z]+-', '') AS a, regexp_replace(known.id, '^[a-z]+-', '') AS b FROM n, known),
 q AS (SELECT *, list_distinct(string_split(a, '-')) AS ta, list_distinct(string_split(b, '-')) AS tb FROM p),
@@ -199,8 +199,8 @@ best AS (SELECT raw, id, kid, how, row_number() OVER (PARTITION BY raw ORDER BY
 SELECT raw, CASE WHEN how IS NULL THEN id ELSE kid END AS id FROM best WHERE k = 1""")
 def normal_ids(s, d):
     people = domain.table(s, d, "customer")
-    known = people.where("c_custkey <= 60").select(F.concat(F.lit("char-customer-"), "c_custkey").alias("id")).unionByName(domain.table(s, d, "nation").select(F.concat(F.lit("loc-nation-"), "n_nationkey").alias("id")))
-    return catalog.normalized_ids(people.where("c_custkey <= 90").select(F.expr(_RAW_ID).alias("raw")), known)
+    known = people.select(F.concat(F.lit("char-customer-"), "c_custkey").alias("id")).unionByName(domain.table(s, d, "nation").select(F.concat(F.lit("loc-nation-"), "n_nationkey").alias("id")))
+    return catalog.normalized_ids(people.select(F.expr(_RAW_ID).alias("raw")), known)
 
 
 @query("entities", """, i AS (SELECT p_partkey AS key, CASE p_partkey % 4 WHEN 0 THEN 'char-customer-' || p_partkey WHEN 1 THEN 'char-old-' || p_partkey WHEN 2 THEN 'loc-new-' || p_partkey ELSE '' END AS id, CASE p_partkey % 3 WHEN 0 THEN ' FRANCE ' WHEN 1 THEN 'Customer#000000001' ELSE p_name END AS name FROM part),

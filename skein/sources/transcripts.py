@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_HEADER = r"(?m)^##\s+turn-(\d+)\s+\[(player|dm)\]\s*$"
+_HEADER = r"(?im)^##\s+turn-(\d+)\s+\[(player|dm)\]"
 
 
 def _quoted(labels: list[str]) -> str:
@@ -36,7 +36,7 @@ def parse_markdown(sessions: DataFrame, key: str = "session_id", content: str =
     heads = F.regexp_extract_all(content, F.lit(_HEADER), F.lit(0))
     bodies = F.slice(F.split(content, _HEADER), 2, 1 << 30)
     rows = sessions.select(key, F.explode(F.arrays_zip(heads.alias("h"), bodies.alias("b"))).alias("t"))
-    out = rows.select(key, F.regexp_extract("t.h", _HEADER, 1).cast("bigint").alias("turn_no"), F.regexp_extract("t.h", _HEADER, 2).alias("speaker"), _edges_off(F.col("t.b")).alias("text"))
+    out = rows.select(key, F.regexp_extract("t.h", _HEADER, 1).cast("bigint").alias("turn_no"), F.lower(F.regexp_extract("t.h", _HEADER, 2)).alias("speaker"), _edges_off(F.col("t.b")).alias("text"))
     return out.where("text <> ''")
 
 

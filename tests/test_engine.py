@@ -1,5 +1,6 @@
 """The narrative engine: traps, parsers, ordered operators against plain Python, streams against batches."""
 
+import collections
 import json
 
 import pytest
@@ -74,8 +75,23 @@ def test_flicker_window_counts_rows(spark):
 
 
 def test_within_turn_dedup(spark):
-    c = spark.createDataFrame([(1, 0, "Old Rod"), (1, 1, "old rod of fire"), (1, 2, "Gandlaf"), (1, 3, "Gandalf"), (1, 4, "Bo"), (1, 5, "Bi"), (2, 0, "Old Rod")], "turn_no long, ord long, name string")
-    assert rows(ordered.dedup_within_turn(c)) == [(1, 0, "old rod of fire", 1), (1, 2, "Gandlaf", 1), (1, 4, "Bo", 0), (1, 5, "Bi", 0), (2, 0, "Old Rod", 0)]
+    names = [(1, "Old Rod"), (1, "old rod of fire"), (1, "Gandlaf"), (1, "Gandalf"), (1, "Bo"), (1, "Bi"), (1, ""), (2, "Old Rod"), (3, "elder"), (3, "eldorman"), (3, "raven"), (4, "camp"), (4, "camping grounds"), (5, "Thorne"), (5, "Lyra"), (5, "Lyr")]
+    c = spark.createDataFrame([(t, k, n) for k, (t, n) in enumerate(names)], "turn_no long, ord long, name string")
+    kept = collections.defaultdict(list)
+    for r in ordered.dedup_within_turn(c).orderBy("ord").collect():
+        kept[r.turn_no].append(r.name)
+    assert kept == {1: ["old rod of fire", "Gandlaf", "Bo", "Bi", ""], 2: ["Old Rod"], 3: ["eldorman", "raven"], 4: ["camping grounds"], 5: ["Thorne", "Lyra"]}
+
+
+def test_long_names_are_found(spark):
+    names = spark.createDataFrame([("item-ring", "Ring of the Last King of All"), ("x", "Ring")], "id string, name string")
+    texts = spark.createDataFrame([(1, "The ring of the last king of all, and a ring."), (2, "a ring of the last")], "k long, text string")
+    assert rows(mentions.mention_join(texts, names, ["k"])) == [(1, "item-ring"), (1, "x"), (2, "x")]
+
+
+def test_markdown_headers_of_any_case(spark):
+    d = spark.createDataFrame([("s", "## Turn-001 [DM]\nhello\n## turn-2 [player] (late)\nyes\n")], "session_id string, content string")
+    assert [tuple(r) for r in transcripts.parse_markdown(d).orderBy("turn_no").select("turn_no", "speaker").collect()] == [(1, "dm"), (2, "player")]
 
 
 def test_entity_matching(spark):
