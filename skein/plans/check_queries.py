@@ -47,7 +47,7 @@ def scored_pairs(s, d):
 
 @query("entities", """, h AS (SELECT 'char-customer-' || c_custkey AS cid, 'char-customer-' || (c_custkey + 1) AS vid, ' customer#' || printf('%09d', c_custkey + 2) AS vname FROM customer WHERE c_custkey % 5 = 0 UNION ALL SELECT 'char-gone', 'char-customer-4', '') , c AS (SELECT h.* FROM h JOIN entities e ON e.id = h.cid),
 m AS (SELECT vid AS id, cid FROM c UNION ALL SELECT e.id, cid FROM c JOIN entities e ON lower(e.name) = trim(vname) AND e.type = 'character') SELECT m.id, min(cid) AS survivor FROM m JOIN entities USING (id) WHERE m.id <> cid GROUP BY m.id""")
-def coreference_hints(s, d):
+def hinted_merges(s, d):
     c = domain.table(s, d, "customer").where("c_custkey % 5 = 0")
     h = c.select(F.concat(F.lit("char-customer-"), "c_custkey").alias("canonical_id"), F.array(F.concat(F.lit("char-customer-"), F.col("c_custkey") + 1)).alias("variant_ids"), F.array(F.format_string(" customer#%09d", F.col("c_custkey") + 2)).alias("variant_names"))
     gone = s.range(1).select(F.lit("char-gone").alias("canonical_id"), F.array(F.lit("char-customer-4")).alias("variant_ids"), F.array(F.lit("")).alias("variant_names"))

@@ -23,6 +23,8 @@ def query(tables: str, body: str) -> Callable[[Query], Query]:
     """Register a query under its function's name, with its SQL over the named domain tables."""
 
     def add(f: Query) -> Query:
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries are named {f.__name__}")
         QUERIES[f.__name__] = f
         SQL[f.__name__] = over(tables, body)
         return f
