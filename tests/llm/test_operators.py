@@ -451,12 +451,69 @@ def test_wrapper_counts_all_pages(spark, settings, monkeypatch):
     assert all(found[3000 + k] == ([f"H{k}", f"text {k}"] if k < 30 else ["Printed daily.", f"item {k}"]) for k in range(40))
 
 
+def _matching(a, b):
+    """Simple tree matching as its recurrence says, on folded trees given as each path's parent."""
+    kids = lambda t, x: [p for p, above in t.items() if above == x]
+
+    def best(x, y):
+        if x != y:
+            return 0
+        p, q = kids(a, x), kids(b, y)
+        table = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
+        for i, u in enumerate(p):
+            for j, v in enumerate(q):
+                table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + best(u, v))
+        return table[-1][-1] + 1
+
+    return best(0, 0)
+
+
 def test_simple_tree_matching():
-    from skein.llm.wrapper_induction import align, fold, parse
+    from skein.llm.wrapper_induction import align, content
+
+    a, b = (content(h)[2] for h in ("<div><h1>x</h1><p>1</p><ul><li>q</ul></div>", "<div><p>2</p><p>3</p><h1>y</h1><ul><li>q<li>r</ul></div>"))
+    assert len(align(a, b)) == _matching(a, b) == 5  # the root, div, ul, li and one of h1 and p
+    rng = random.Random(4)
+    for _ in range(200):
+        trees = []
+        for _ in range(2):
+            make = lambda depth: "".join(f"<div class={c}>{make(depth - 1) if depth else ''}</div>" for c in rng.sample("abcde", rng.randint(0, 4)))
+            trees.append(content(make(3))[2])
+        matched = align(*trees)
+        assert len(matched) == _matching(*trees) and all(p == 0 or trees[0][p] in matched for p in matched)
+
+
+def test_wrapper_on_deep_and_wide_pages(spark):
+    from skein.llm.wrapper_induction import extract_pages
+
+    deep = lambda k: "<body>" + "<div>" * 5000 + f"<p>deep {k}</p>" + "</div>" * 5000 + "<p>x</p></body>"
+    wide = lambda k: "<body>" + "".join(f"<h2 class=c{i}>h{k} {i}</h2><p class=d{i}>p{k} {i}</p>" for i in range(5000)) + "</body>"
+    long = "<body><article>" + "<p>word " * 200_000 + "</article></body>"
+    rows = [(k, "http://a.example/", deep(k)) for k in range(6)] + [(10 + k, "http://b.example/", wide(k)) for k in range(6)] + [(20, "http://c.example/", long)]
+    found = {r.page_id: r.text for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(found[k] == f"deep {k}" for k in range(6))
+    assert all(found[10 + k].split("\n") == [x for i in range(5000) for x in (f"h{k} {i}", f"p{k} {i}")] for k in range(6))
+    assert found[20] == "\n".join(["word"] * 200_000)
+
+
+GOLD = [
+    ("<body><nav>n</nav><article><h2>Introduction</h2><p>text {k}</p></article></body>", "Introduction\ntext {k}"),
+    ("<body><article><div class='ad-hoc'>made {k}</div><section id=share-prices><p>up {k}</p></section></article></body>", "made {k}\nup {k}"),
+    ("<body><article title='a > b' data-x=\"c > d\"><p title='x>y'>main {k}</p><div class='share-buttons'>s</div><div class=adBox>buy</div></article></body>", "main {k}"),
+    ("<body><main><p>a {k}<article class=comment>no</article><div class='site-footer'>f</div><ul id=comments-list><li>c</ul></main></body>", "a {k}"),
+    ("<body><div id=masthead>top</div><h1>T{k}</h1><div role=navigation>go</div><p>b {k}<p hidden>h<p>Printed daily.<div class='cookie_notice'>ok?</div></body>", "T{k}\nb {k}"),
+    ("<article><header><h1>Title {k}</h1></header><p>x &lt; y &amp;amp; {k}<form>f<input></form><script>if (a < b) '</p>'</script><pre>one\n  two</pre></article>", "Title {k}\nx < y &amp; {k}\none two"),
+]
+
+
+def test_wrapper_gold_pages(spark):
+    """Pages whose main text is known: every line of it is found, and nothing else."""
+    from skein.llm.wrapper_induction import extract_pages
 
-    a, b = (fold(parse(h)) for h in ("<div><h1>x</h1><p>1</p><ul><li>q</ul></div>", "<div><p>2</p><p>3</p><ul><li>q<li>r</ul><i>z</i></div>"))
-    n, pairs = align(a, b)
-    assert n == 5 and {x.sig for x, _ in pairs} == {"#", "div", "p", "ul", "li"}
+    rows = [(100 * g + k, f"http://g{g}.example/{k}", html.replace("{k}", str(k)), "x", "y") for g, (html, _) in enumerate(GOLD) for k in range(8)]
+    rows += [rows[0], rows[0]]
+    found = extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, _host string, text string")).collect()
+    assert collections.Counter((r.page_id, r.text) for r in found) == collections.Counter((i, GOLD[i // 100][1].replace("{k}", str(i % 100))) for i, *_ in rows)
 
 
 def test_empty_tables(spark, nothing):
