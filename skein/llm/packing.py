@@ -1,7 +1,7 @@
 """Lexical retrieval packing: windows of tokens filled with a seed document and its neighbours.
 
-Documents lie in shards: the partitions in which they are read, cut
-further at each Arrow batch and at ``SHARD_BYTES`` of text. A seed asks its own shard alone, so
+Documents lie in shards: the partitions in which they are read, cut further at ``SHARD_BYTES`` of text (a longer text is
+a shard of its own), whatever the size of an Arrow batch. A seed asks its own shard alone, so
 better neighbours in other shards are out of its reach. Each shard has its own BM25 inverted index: terms are words
 hashed to ``TERMS`` buckets, weighted by their number of documents over the whole
 corpus (one count for each bucket, a bounded table). The shard's next unused document is the
@@ -15,8 +15,8 @@ neighbours run out, the next unused documents in order fill the window.
 A shard is one task's work and its memory is bounded by ``SHARD_BYTES`` and its longest
 text; nothing is shuffled but the term counts.
 
-A null text is empty and has the end id alone. Repeated rows are packed as often as they
-occur. Ties in score go to the earlier row.
+A null text is empty and has the end id alone; a null id is kept. Repeated rows are packed as often as they
+occur. Ties in score go to the earlier row. An empty table gives no rows. Other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -164,6 +164,34 @@ def pack(index: Index, sizes: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return np.array(out, np.int64).reshape(-1, 5)
 
 
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Rows (id, text) of a partition in runs of ``SHARD_BYTES`` of text at most, one row at least: ids, bytes, offsets."""
+    held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def shard() -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        sizes = np.concatenate([np.diff(o) for _, _, o in held])
+        return pa.concat_arrays([i for i, _, _ in held]), np.concatenate([t for _, t, _ in held]), np.concatenate([[0], np.cumsum(sizes)])
+
+    for b in batches:
+        buf, offs = text_buffers(b.column(1))
+        k = 0
+        while k < b.num_rows:
+            j = int(np.searchsorted(offs, offs[k] + SHARD_BYTES - size, "right")) - 1
+            if j <= k:
+                if held:
+                    yield shard()
+                    held, size = [], 0
+                    continue
+                j = k + 1
+            j = min(j, b.num_rows)
+            held.append((b.column(0)[k:j], buf[offs[k] : offs[j]], offs[k : j + 1] - offs[k]))
+            size += int(offs[j] - offs[k])
+            k = j
+    if held:
+        yield shard()
+
+
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset;
     with_ids: and ids (array). A sequence has at most ``window`` ids; a shorter one is to be padded.
@@ -174,27 +202,25 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, first_sequence = encoder(tokenizer, keeps_space=True), TaskContext.get().partitionId() << 33
-        for b in batches:
-            buf, offs = text_buffers(b.column(1))
-            for i, j in chunks(offs, SHARD_BYTES):
-                parts, terms, at = [], [], 0
-                for x, y in chunks(offs[i : j + 1]):
-                    own, cut = buf[offs[i + x] : offs[i + y]], offs[i + x : i + y + 1] - offs[i + x]
-                    ids, bounds = enc.encode(own, cut)
-                    parts.append((np.insert(ids, bounds[1:], end_id), np.diff(bounds) + 1))
-                    d, t, n = _doc_terms(own, cut)
-                    terms.append((d + at, t, n))
-                    at += y - x
-                ids, sizes = (np.concatenate(x) for x in zip(*parts))
-                pieces = pack(Index(*(np.concatenate(x) for x in zip(*terms)), j - i, idf), sizes, window)
-                begin = (np.cumsum(sizes) - sizes)[pieces[:, 0]] + pieces[:, 1]
-                raw = ids.astype("<u4")
-                view = memoryview(raw).cast("B")
-                crc = [zlib.crc32(view[4 * s : 4 * (s + n)]) for s, n in zip(begin.tolist(), pieces[:, 2].tolist())]
-                cols = [b.column(0)[i:j].take(pa.array(pieces[:, 0])), pa.array(pieces[:, 1]), pa.array(pieces[:, 2]), pa.array(crc, pa.int64()), pa.array(sizes[pieces[:, 0]]), pa.array(pieces[:, 3] + first_sequence), pa.array(pieces[:, 4])]
-                if with_ids:
-                    cols.append(pa.array([raw[s : s + n] for s, n in zip(begin.tolist(), pieces[:, 2].tolist())], pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays(cols, names)
-                first_sequence += int(pieces[:, 3].max(initial=-1)) + 1
+        for doc_ids, buf, offs in _shards(batches):
+            parts, terms, at = [], [], 0
+            for x, y in chunks(offs):
+                own, cut = buf[offs[x] : offs[y]], offs[x : y + 1] - offs[x]
+                ids, bounds = enc.encode(own, cut)
+                parts.append((np.insert(ids, bounds[1:], end_id), np.diff(bounds) + 1))
+                d, t, n = _doc_terms(own, cut)
+                terms.append((d + at, t, n))
+                at += y - x
+            ids, sizes = (np.concatenate(x) for x in zip(*parts))
+            pieces = pack(Index(*(np.concatenate(x) for x in zip(*terms)), len(doc_ids), idf), sizes, window)
+            begin = (np.cumsum(sizes) - sizes)[pieces[:, 0]] + pieces[:, 1]
+            raw = ids.astype("<u4")
+            view = memoryview(raw).cast("B")
+            crc = [zlib.crc32(view[4 * s : 4 * (s + n)]) for s, n in zip(begin.tolist(), pieces[:, 2].tolist())]
+            cols = [doc_ids.take(pa.array(pieces[:, 0])), pa.array(pieces[:, 1]), pa.array(pieces[:, 2]), pa.array(crc, pa.int64()), pa.array(sizes[pieces[:, 0]]), pa.array(pieces[:, 3] + first_sequence), pa.array(pieces[:, 4])]
+            if with_ids:
+                cols.append(pa.array([raw[s : s + n] for s, n in zip(begin.tolist(), pieces[:, 2].tolist())], pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(cols, names)
+            first_sequence += int(pieces[:, 3].max(initial=-1)) + 1
 
     return base.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids)

@@ -330,6 +330,30 @@ def test_packing(docs):
     assert sum(sum(n for _, n in s) < 64 for s in sequences.values()) <= 3  # one at most for each of the partitions
 
 
+def test_packing_ignores_arrow_batches(spark, docs):
+    from skein.llm.packing import pack_documents
+
+    one = docs.coalesce(1)
+    pack = lambda: sorted(map(tuple, pack_documents(one, public_tokenizers.path("byte_bpe_50k.json"), window=64).collect()), key=repr)
+    found = pack()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert pack() == found
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_packing_shards_by_bytes(docs, monkeypatch):
+    from skein.llm import packing
+
+    monkeypatch.setattr(packing, "SHARD_BYTES", 2000)
+    batches = docs.select("doc_id", "text").toArrow().to_batches(max_chunksize=7)
+    shards = list(packing._shards(iter(batches)))
+    rows = [(i, buf[a:e].tobytes()) for ids, buf, offs in shards for i, a, e in zip(ids.to_pylist(), offs[:-1], offs[1:])]
+    assert rows == [(i, (t or "").encode()) for b in batches for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    assert len(shards) > 3 and all(offs[-1] <= 2000 or len(ids) == 1 for ids, _, offs in shards)
+
+
 def test_packing_puts_neighbours_together(spark):
     from skein.llm.packing import Index, _doc_terms, pack
     from skein.llm._text import text_buffers
