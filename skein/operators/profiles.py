@@ -61,9 +61,45 @@ def stub_context(refs: DataFrame, turns: DataFrame, most: int = 10, chars: int =
     return own.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= most).select("entity_id", "rank", "turn_no", F.char_length("text").cast("bigint").alias("chars"))
 
 
+# What begins a section of a season's summary, and the section it is.
+_SECTIONS = {
+    "regional_changes": r"Regional\s+Changes?",
+    "faction_actions": r"Faction\s+Actions?",
+    "economic_shifts": r"Economic\s+(?:(?:or\s+)?Ecological\s+)?(?:Shifts?|Changes?|Updates?)",
+    "environmental_notes": r"Environmental\s+(?:Notes?|Conditions?|Changes?)",
+    "rumors": r"Rumors?\s+(?:Reaching|and\s+)[^\n]*?",
+    "consequences": r"Consequences?\s+of\s+[^\n]*?",
+}
+_SEASONS = ("spring", "summer", "fall", "winter", "autumn")
+_SECTION = r"(?im)^\*{0,2}(" + "|".join(_SECTIONS.values()) + r"):?\s*?\*{0,2}[ \t]*:?[ \t]*$"
+_SUMMARY = r"(?i)(?:^|\n)(?:\*{0,2})(?:Season\s+(?:\d+\s+)?Summary|(?:" + "|".join(_SEASONS) + r")\s+(?:Summary|Overview|Report|Update))(?:\*{0,2})\s*(?::\s*(?:\*{0,2})?(?:" + "|".join(_SEASONS) + r")?(?:\*{0,2})?)?\s*\n"
+
+
+def season_sections(turns: DataFrame) -> DataFrame:
+    """(session_id, turn_no, section, content) of the sections that turns hold under their headings; empty ones are left out.
+
+    A section ends at the next heading; the last one at a blank line that a line of prose follows, or at the end. Of a section that comes
+    twice the last counts.
+    """
+    heads, bodies = F.regexp_extract_all("text", F.lit(_SECTION), F.lit(1)), F.slice(F.split("text", _SECTION), 2, 1 << 30)
+    each = turns.select("session_id", "turn_no", F.size(heads).alias("_n"), F.posexplode(F.arrays_zip(heads.alias("h"), bodies.alias("b"))).alias("_at", "s"))
+    first = F.lower(F.regexp_extract("s.h", r"^(\w+)", 1))
+    kind = F.coalesce(*(F.when(first.isin(*([k.split("_")[0]] + (["rumor"] if k == "rumors" else ["consequence"] if k == "consequences" else []))), k) for k in _SECTIONS))
+    body = F.when(F.col("_at") == F.col("_n") - 1, F.element_at(F.split("s.b", r"\n\n(?=[^\s\-*])"), 1)).otherwise(F.col("s.b"))
+    own = each.select("session_id", "turn_no", "_at", kind.alias("section"), F.regexp_replace(body, r"^\s+|\s+$", "").alias("content")).where("content <> ''")
+    return own.groupBy("session_id", "turn_no", "section").agg(F.max_by("content", "_at").alias("content"))
+
+
 def season_summaries(turns: DataFrame, least: int = 2) -> DataFrame:
-    """Turns that sum up a season: under a header, or with ``least`` known sections; the season the header tells, and the number of sections."""
-    heads = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"(?im)^\s*(?:#+\s*|\*\*)?(food|defense|defence|social|trade|construction|health|knowledge)\b[^\n:]{0,40}:"), F.lit(1)), lambda x: F.lower(x)))
-    header = F.regexp_extract("text", r"(?im)^\s*(?:#+\s*)?(spring|summer|autumn|fall|winter|season)\s+summary", 1)
-    own = turns.select("session_id", "turn_no", F.lower(header).alias("_h"), F.size(heads).cast("bigint").alias("sections"))
-    return own.where((F.col("_h") != "") | (F.col("sections") >= least)).select("session_id", "turn_no", F.when(~F.col("_h").isin("", "season"), F.col("_h")).alias("season"), "sections")
+    """Turns that sum up a season: under a header, or with ``least`` different sections: session_id, turn_no, season, year, sections.
+
+    The season is the one that the header tells, else the first name (in the order of _SEASONS) within the first 300 characters.
+    """
+    from skein.functions.ids import season_of_state
+    from skein.operators.timeline import year_of
+
+    sections = season_sections(turns).groupBy("session_id", "turn_no").agg(F.count("*").alias("sections"))
+    told = F.nullif(F.regexp_extract("text", r"(?i)Season\s+(?:\d+\s+)?Summary\s*:\s*(?:\*{0,2})?(" + "|".join(_SEASONS) + ")", 1), F.lit(""))
+    seen = F.coalesce(*(F.when(F.substring("text", 1, 300).rlike(rf"(?iU)\b{x}\b"), x) for x in _SEASONS))
+    own = turns.join(sections, ["session_id", "turn_no"], "left").withColumn("sections", F.coalesce("sections", F.lit(0)))
+    return own.where(F.col("text").rlike(_SUMMARY) | (F.col("sections") >= least)).select("session_id", "turn_no", season_of_state(F.coalesce(told, seen)).alias("season"), year_of(F.col("text")).alias("year"), "sections")

@@ -104,8 +104,26 @@ def status_effects(turns: DataFrame) -> DataFrame:
     return turns.select("session_id", "turn_no", F.explode(found).alias("effect"))
 
 
+ACQUIRED = r"(?im)(?:picks?\s+up|receives?|obtains?|finds?|gains?|acquires?|takes?|is\s+given)\s+(?:a\s+|an\s+|the\s+)?(.+?)(?:\.|,|$)"
+
+
 def inventory(turns: DataFrame, items: DataFrame) -> DataFrame:
-    """Items that turns acquire, once for each turn and name, with the catalog's least id of that name."""
-    name = F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(dict(MARKERS)["item_acquired"]), F.lit(1)), lambda x: F.lower(F.trim(x)))))
+    """Items that turns acquire, once for each turn and name, with the catalog's least id of that name.
+
+    A marker line names an item, and so does prose that tells of taking, finding or being given something of up to five words.
+    """
+    trimmed = lambda x: F.lower(F.regexp_replace(x, r"^\s+|\s+$", ""))
+    marked = F.transform(F.regexp_extract_all("text", F.lit(dict(MARKERS)["item_acquired"]), F.lit(1)), trimmed)
+    told = F.filter(F.transform(F.regexp_extract_all("text", F.lit(ACQUIRED), F.lit(1)), trimmed), lambda x: F.size(F.split(x, r"\s+")) <= 5)
     ids = items.groupBy(F.lower("name").alias("name")).agg(F.min("id").alias("item_id"))
-    return turns.select("session_id", "turn_no", name.alias("name")).join(ids, "name", "left").select("session_id", "turn_no", "name", "item_id")
+    return turns.select("session_id", "turn_no", F.explode(F.array_union(marked, told)).alias("name")).join(ids, "name", "left").select("session_id", "turn_no", "name", "item_id")
+
+
+def mechanical_state(turns: DataFrame, items: DataFrame) -> DataFrame:
+    """What a turn tells of hit points, inventory and effects, in one row: session_id, turn_no, hp (struct), items, effects (sorted arrays); turns that tell nothing are left out."""
+    key = ["session_id", "turn_no"]
+    hp = hp_state(turns).select(*key, F.struct("numeric", "max_hp", "delta", "narrative").alias("hp"))
+    own = inventory(turns, items).groupBy(*key).agg(F.array_sort(F.collect_list("name")).alias("items"))
+    effects = status_effects(turns).groupBy(*key).agg(F.array_sort(F.collect_list("effect")).alias("effects"))
+    none = F.array().cast("array<string>")
+    return hp.join(own, key, "full").join(effects, key, "full").select(*key, "hp", F.coalesce("items", none).alias("items"), F.coalesce("effects", none).alias("effects"))

@@ -288,7 +288,8 @@ def status_effects(s, d):
     return text_state.status_effects(domain.scenes(s, d))
 
 
-@query("scenes", r""", v AS (SELECT DISTINCT session_id, turn_no, lower(trim(unnest(regexp_extract_all(text, '(?im)New\s+item\s+acquired:\s*(.+?)$', 1)))) AS name FROM scenes) SELECT session_id, turn_no, v.name, i.item_id FROM v LEFT JOIN (SELECT 'silver key' AS name, 'item-key' AS item_id) i USING (name)""")
+@query("scenes", r""", a AS (SELECT session_id, turn_no, lower(trim(unnest(regexp_extract_all(text, '(?im)(picks?\s+up|receives?|obtains?|finds?|gains?|acquires?|takes?|is\s+given)\s+(a\s+|an\s+|the\s+)?(.+?)(\.|,|$)', 3)))) AS name FROM scenes),
+v AS (SELECT DISTINCT session_id, turn_no, lower(trim(unnest(regexp_extract_all(text, '(?im)New\s+item\s+acquired:\s*(.+?)$', 1)))) AS name FROM scenes UNION SELECT session_id, turn_no, name FROM a WHERE len(regexp_split_to_array(name, '\s+')) <= 5) SELECT session_id, turn_no, v.name, i.item_id FROM v LEFT JOIN (SELECT 'silver key' AS name, 'item-key' AS item_id) i USING (name)""")
 def inventory(s, d):
     return text_state.inventory(domain.scenes(s, d), s.range(1).select(F.lit("item-key").alias("id"), F.lit("Silver Key").alias("name")))
 

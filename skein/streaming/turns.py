@@ -32,13 +32,15 @@ def upsert_stream(updates: DataFrame, path: str, checkpoint: str, merge: Callabl
     """Fold each micro-batch into the table at ``path`` by ``merge(current, batch)``.
 
     Every batch writes a whole new version under its batch id, so a batch that runs twice
-    after a lost executor overwrites its own version only.
+    after a lost executor overwrites its own version only. The version before the one that was read is removed.
     """
     spark = empty.sparkSession
 
     def fold(batch: DataFrame, number: int) -> None:
         current = empty if number == 0 else spark.read.schema(empty.schema).parquet(f"{path}/v{number - 1}")
         merge(current, batch).write.mode("overwrite").parquet(f"{path}/v{number}")
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{number - 2}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return updates.writeStream.option("checkpointLocation", checkpoint).foreachBatch(fold).start()
 
