@@ -94,7 +94,7 @@ def audit_pairs(entities: DataFrame, targets: DataFrame) -> DataFrame:
 
     entities: id, name, first_seen; targets: id, target_id. Similar names of one turn are compared in groups of one turn and prefix.
     """
-    own = entities.select("id", F.regexp_extract("id", "^([a-z]+)-", 1).alias("type"), normal_name(F.col("name")).alias("name"), "first_seen").where("type <> '' and name <> ''")
+    own = entities.select("id", F.regexp_extract("id", "^([a-z]+)-", 1).alias("type"), F.regexp_replace(F.lower(F.trim("name")), r"^(the|a|an)\s+", "").alias("name"), "first_seen").where("type <> '' and name <> ''")
     near = fuzzy_pairs(own.select("id", "type", "name"), 3, raw=True).where("distance > 0").select("a", "b", F.lit(0).alias("rank"), F.concat(F.lit("edit_distance="), "distance").alias("reason"))
     # a name within another: every substring of the longer one as long as some name is, by equality
     sizes = own.where(F.char_length("name") >= 3).groupBy("type").agg(F.array_sort(F.collect_set(F.char_length("name"))).alias("sizes"))

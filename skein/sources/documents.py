@@ -99,14 +99,14 @@ def write_full_transcripts(turns: DataFrame, path: str, overwrite: bool = False,
 
         fs.rename(at, _fs(spark, f"{path}.bak-{time.strftime('%Y%m%dT%H%M%SZ', time.gmtime())}")[0])
     rows = transcript_text(turns).withColumn("block", F.when(F.col("turn_no") == 1, F.concat(F.lit("# Full Transcript\n"), "block")).otherwise(F.col("block")))
-    rows.repartition("session_id").sortWithinPartitions("session_id", "turn_no").select("session_id", F.col("block").alias("value")).write.partitionBy("session_id").option("lineSep", "").text(path)
+    rows.repartition("session_id").sortWithinPartitions("session_id", "turn_no").select("session_id", F.regexp_replace("block", r"\n\z", "").alias("value")).write.partitionBy("session_id").text(path)
     return "written"
 
 
 def append_to_transcripts(turns: DataFrame, path: str) -> None:
     """Add turns behind the sessions' transcripts, as further files of their folders."""
     rows = transcript_text(turns).repartition("session_id").sortWithinPartitions("session_id", "turn_no")
-    rows.select("session_id", F.col("block").alias("value")).write.mode("append").partitionBy("session_id").option("lineSep", "").text(path)
+    rows.select("session_id", F.regexp_replace("block", r"\n\z", "").alias("value")).write.mode("append").partitionBy("session_id").text(path)
 
 
 def session_metadata(turns: DataFrame, current: DataFrame) -> DataFrame:
