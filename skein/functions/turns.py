@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,13 +35,36 @@ def token_estimate(text: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.char_length(text) / 3)).cast("bigint")
 
 
+def needle(pattern: str) -> str:
+    """The longest plain text that every match of the pattern holds; empty where alternatives at the top leave none.
+
+    Groups, classes and characters that may be left out or repeated are no part of it.
+    """
+    flat = pattern
+    while (inner := re.sub(r"\((?:\?:)?[^()]*\)[?*+]*", "\0", flat)) != flat:
+        flat = inner
+    flat = re.sub(r"\[[^\]]*\][?*+]*|\\.[?*+]*|.[?*]\??|\.", "\0", flat)
+    return "" if "|" in flat else max(re.split("[^a-z ]+", flat), key=len)
+
+
+def _may(folded: Column, pattern: str) -> Column:
+    """Whether the plain part of a pattern is in the text: a byte search that spares most texts the pattern."""
+    plain = needle(pattern)
+    return folded.contains(plain) if plain else F.lit(True)
+
+
 def has_word(folded: Column, pattern: str) -> Column:
     """Whether lower-cased text holds the pattern between word boundaries of any script."""
-    return folded.rlike(rf"(?U)\b(?:{pattern})\b")
+    return _may(folded, pattern) & folded.rlike(rf"(?U)\b(?:{pattern})\b")
 
 
 def count_word(folded: Column, pattern: str) -> Column:
-    return F.regexp_count(folded, F.lit(rf"(?U)\b(?:{pattern})\b"))
+    return F.when(_may(folded, pattern), F.regexp_count(folded, F.lit(rf"(?U)\b(?:{pattern})\b"))).otherwise(0)
+
+
+def first_word(folded: Column, pattern: str) -> Column:
+    """The first match between word boundaries, else empty."""
+    return F.when(_may(folded, pattern), F.regexp_extract(folded, rf"(?U)\b({pattern})\b", 1)).otherwise("")
 
 
 def normal_name(name: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.turns import count_word, has_word
+from skein.functions.turns import count_word, first_word, has_word
 
 # Marker families in their order, with pattern, and the group that holds the value.
 MARKERS = (
@@ -75,8 +75,8 @@ def season_signals(turns: DataFrame) -> DataFrame:
 
 
 def _first_hits(turns: DataFrame, patterns: tuple, kind: str, confidence: float) -> DataFrame:
-    found = F.array(*(F.struct(F.lit(label).alias("label"), F.regexp_extract(F.lower("text"), rf"(?U)\b({p})\b", 1).alias("raw")) for p, label in patterns))
-    rows = turns.select("session_id", "turn_no", F.explode(F.filter(found, lambda m: m["raw"] != "")).alias("m"))
+    found = F.array(*(F.struct(F.lit(label).alias("label"), first_word(F.col("_t"), p).alias("raw")) for p, label in patterns))
+    rows = turns.withColumn("_t", F.lower("text")).select("session_id", "turn_no", F.explode(F.filter(found, lambda m: m["raw"] != "")).alias("m"))
     raw = F.when(F.char_length("m.raw") > 120, F.concat(F.substring("m.raw", 1, 117), F.lit("..."))).otherwise(F.col("m.raw"))
     return rows.select("session_id", "turn_no", F.lit(kind).alias("type"), F.concat_ws(": ", "m.label", raw).alias("signal"), F.lit(confidence).alias("confidence"))
 
