@@ -63,3 +63,17 @@ def retention(before: DataFrame, after: DataFrame, threshold: float = 0.2) -> Da
     both = before.select("id", "type", F.lit(1).alias("_a")).join(after.select("id", F.col("type").alias("_type"), F.lit(1).alias("_b")), "id", "full")
     own = both.withColumn("type", F.coalesce("type", "_type")).rollup("type").agg(F.count_if(F.expr("_a = 1 and _b = 1")).alias("retained"), F.count_if(F.expr("_b is null")).alias("removed"), F.count_if(F.expr("_a is null")).alias("added"))
     return own.withColumn("flagged", F.col("removed") > threshold * (F.col("retained") + F.col("removed")))
+
+
+def phase_deltas(log: DataFrame, runs: int, per_call: bool = True) -> DataFrame:
+    """By phase and turn the arms' mean tokens (a call, or in all) and their difference, over turns that are matched within the phase.
+
+    log: run, arm, phase, turn_no, calls, tokens. A call: turns in which all runs made the same number of calls of the phase;
+    in all: turns in which all runs made some. Weight: the calls of both arms.
+    """
+    own = log.where("calls > 0").groupBy("phase", "turn_no", "run", "arm").agg(F.sum("calls").alias("calls"), F.sum("tokens").alias("tokens"))
+    value = F.col("tokens") / F.col("calls") if per_call else F.col("tokens").cast("double")
+    mean = lambda arm: F.avg(F.when(F.col("arm") == arm, value))
+    out = own.groupBy("phase", "turn_no").agg(F.count("*").alias("_r"), F.min("calls").alias("_lo"), F.max("calls").alias("_hi"), mean("A").alias("a"), mean("B").alias("b"), F.sum("calls").alias("weight"))
+    out = out.where(F.col("_r") == runs)
+    return (out.where("_lo = _hi") if per_call else out).select("phase", "turn_no", "a", "b", (F.col("b") - F.col("a")).alias("delta"), "weight")
