@@ -14,7 +14,9 @@ be at most ``broadcast_rows`` (of ``window`` words each), and are joined by term
 otherwise.
 
 Nulls: a null text has no words and is reported with zeros; test rows without an id
-or a word are left out. Repeated rows are reported once each.
+or a word are left out. Repeated rows are reported once each; of equal phrases each item counts. Ties: of a phrase's equally rare terms the
+first serves. Texts of any length are read whole. Without documents there are no rows, without tests all figures are zero. Other columns are not
+read, so their names cannot clash.
 """
 
 from __future__ import annotations

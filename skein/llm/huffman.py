@@ -15,7 +15,9 @@ significant first. Blocks decode independently, and within one so does each
 stretch between checkpoints, so all stretches of a batch are decoded in step
 by table look-up.
 
-Null text: no ids but the end id. Null doc ids come last. Ties by id go by content.
+Null text: no ids but the end id. Null doc ids come last. Ties by id go by content; repeated rows are written as often as they
+occur. Texts of any length are encoded whole. An empty table gives a file without blocks, and reading it no rows. Other columns are not
+read, so their names cannot clash.
 """
 
 from __future__ import annotations

@@ -4,8 +4,8 @@ A text's features are its words, cut to ``PIECE`` bytes, and the byte n-grams of
 ``GRAMS`` sizes of each word with marks at both ends, hashed to ``BUCKETS``. Each bucket
 has an embedding; a text is the mean of those of its features, and a linear softmax over it
 gives the languages. Both are trained together by stochastic gradient descent in numpy on
-the driver, over at most ``SAMPLE`` labelled rows (least hash of id first), of
-whose lang and text alone it learns. A fifth of the sample is held back to fit a
+the driver, over at most ``SAMPLE`` labelled rows (least hash of id first) with ``SAMPLE_BYTES`` of text together (a text of
+over an eighth of these is in no sample), of whose lang and text alone it learns. A fifth of the sample is held back to fit a
 temperature (calibration) and the score below which a prediction is to be rejected
 (the score that ``REJECT`` of the held-back texts fall below).
 
@@ -14,7 +14,8 @@ bucket x language (bounded: BUCKETS x languages floats), so a whole batch is a g
 mean. Whole texts are read.
 
 Null texts and those without a letter are ``und`` with score 0. With no labelled
-row at all every text is ``und``. Ties go to the first language in order.
+row at all every text is ``und``. Ties go to the first language in order. Repeated rows get equal predictions, an empty table gives no
+rows. Columns of the table pass through; one that is named as a result is replaced by it, other names cannot clash.
 """
 
 from __future__ import annotations
@@ -24,11 +25,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._text import U64, Words, chunks, mix, text_buffers
 
+SAMPLE_BYTES = 64 << 20
 SAMPLE, BUCKETS, DIM, GRAMS, EPOCHS, RATE, REJECT = 3000, 1 << 16, 16, (2, 3, 4), 6, 0.5, 0.005
 _P = U64(0x9E3779B97F4A7C15)
 UNDETERMINED = "und"
@@ -131,11 +133,15 @@ def fit(texts: list[str], langs: list[str], epochs: int = EPOCHS, rate: float =
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model | None:
     """Fit on at most ``sample`` rows with a language and a text; None if there is none."""
     rows = labelled.select(F.col(f"`{text_col}`").alias("t"), F.col(f"`{lang_col}`").alias("l"), F.xxhash64(f"`{id_col}`").alias("h"), F.col(f"`{id_col}`").alias("i"))
-    rows = rows.where("t is not null and l is not null")
+    size = F.octet_length("t").cast("long")
+    rows = rows.where("t is not null and l is not null").where(size <= SAMPLE_BYTES // 8)
     n = rows.count()
     if n > 2 * sample:  # a share of the hashes first, so that no partition sends more than its part of the sample
         rows = rows.where(F.pmod("h", F.lit(1 << 31)) < int((1 << 31) * 1.3 * sample / n))
-    got = rows.orderBy(F.pmod("h", F.lit(1 << 31)), "h", "i", "t").limit(sample).select("t", "l").collect()
+    order = [F.pmod("h", F.lit(1 << 31)), F.col("h"), F.col("i"), F.col("t")]
+    first = rows.orderBy(*order).limit(sample)
+    together = F.sum(size).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))  # over the sample's rows alone
+    got = first.withColumn("_bytes", together).where(F.col("_bytes") <= SAMPLE_BYTES).select("t", "l").collect()
     return fit([r.t for r in got], [r.l for r in got]) if got else None
 
 
@@ -143,7 +149,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
     """All columns of ``docs`` and lang_pred, score and accepted (the score is not below the rejection bound)."""
     names = [c for c in docs.columns if c not in ("lang_pred", "score", "accepted")]
     has_letter: Column = F.coalesce(F.col(f"`{text_col}`").rlike(r"\p{L}"), F.lit(False))
-    src = docs.select(*(F.col(f"`{c}`") for c in names), has_letter.alias("_letter"))
+    src = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)), has_letter.alias("letter"))  # by place, so that no name clashes
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,8 +14,8 @@ or over half of its words in repeated 3-word windows), or if the failed lines
 hold more than ``max_lost`` of its words.
 
 A null or empty text has no words, so its base test fails. Long texts, ties
-and repeated rows need no care: each row is judged by itself, in one narrow
-stage without a shuffle.
+and repeated rows need no care: each row is judged by itself, whole, in one narrow
+stage without a shuffle. An empty table gives no rows. A column that is named as a figure is replaced by it.
 """
 
 from __future__ import annotations

@@ -26,7 +26,8 @@ are those of the full join.
 
 Texts with fewer words have their whole word sequence as the one token; null or
 wordless texts have none and stand alone. Null ids link, but name a component
-only where no member has an id; it is null then. Repeated rows are equal sets.
+only where no member has an id; it is null then. Repeated rows are equal sets. Ties: tokens of one count are ordered by hash, pivots of one
+place by row. An empty table gives no rows. Texts of any length are read whole. Other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations

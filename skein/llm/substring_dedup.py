@@ -28,7 +28,8 @@ windows, which meet only their equals. Shards are sent only the stretches that
 need them, so no broadcast grows with the corpus.
 
 Nulls: a null text has no words; a row with a null id is kept unchanged.
-Rows that repeat an id are judged against other ids only.
+Rows that repeat an id are judged against other ids only. Of equal windows the one in the smallest id stays, all others go. An empty
+table gives no rows. Texts of any length are read whole. Other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations

@@ -540,6 +540,100 @@ def test_wrapper_gold_pages(spark):
     assert collections.Counter((r.page_id, r.text) for r in found) == collections.Counter((i, GOLD[i // 100][1].replace("{k}", str(i % 100))) for i, *_ in rows)
 
 
+def _all_operators():
+    from skein.llm.decontamination import decontaminate
+    from skein.llm.huffman import read_token_ids, write_token_ids
+    from skein.llm.language_id import predict, train
+    from skein.llm.line_quality import line_quality
+    from skein.llm.ngram_join import ngram_components
+    from skein.llm.packing import pack_documents
+    from skein.llm.sharding import shard_documents
+    from skein.llm.substring_dedup import substring_dedup
+
+    word, byte = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
+    items = lambda d: d.sparkSession.createDataFrame([("i1", "one", 1), ("i2", "a b c d", 2)], "item_id string, text string, _id long")
+    return {
+        "op1": lambda d: substring_dedup(d),
+        "op3": lambda d: line_quality(d).select("doc_id", "n_words", "n_repeat_words", "base_failed"),
+        "op4": lambda d: read_token_ids(d.sparkSession, write_token_ids(d, word)).select("doc_id", "n_tokens"),
+        "op5": lambda d: ngram_components(d),
+        "op6": lambda d: predict(d, train(d)).select("doc_id", "lang_pred", "score"),
+        "op7": lambda d: shard_documents(d, shards=5).select("_id", "size", "text_crc32"),
+        "op8": lambda d: pack_documents(d, byte, window=64).groupBy("doc_id").sum("length"),
+        "op9": lambda d: decontaminate(d, items(d)).drop("_items"),
+    }
+
+
+@pytest.mark.parametrize("op", ["op1", "op3", "op4", "op5", "op6", "op7", "op8", "op9"])
+def test_clashing_columns(docs, op):
+    """Columns that are named as operators name their own change nothing."""
+    from pyspark.sql import functions as F
+
+    plain = docs.select("doc_id", "text", "lang")
+    names = ("_id", "_row", "_text", "_rid", "_n", "_token", "_label", "_group", "_words", "_pid", "size", "shard", "slot", "letter", "c0", "score", "start", "ids", "doc", "a.b")
+    run = _all_operators()[op]
+    found = lambda d: collections.Counter(map(repr, run(d).collect()))
+    assert found(plain.withColumns({c: F.lit(k) for k, c in enumerate(names)})) == found(plain)
+
+
+def test_very_long_texts(spark):
+    """Texts of two hundred thousand words, alone, copied and nearly copied, against the plain versions."""
+    from skein.llm.ngram_join import ngram_components
+    from skein.llm.line_quality import line_quality
+    from skein.llm.substring_dedup import substring_dedup
+
+    rng = random.Random(12)
+    long = [f"w{rng.randrange(60000)}" for _ in range(200_000)]
+    near = long[:1000] + ["x"] + long[1001:]
+    rows = [(1, " ".join(long)), (2, " ".join(near)), (3, "\n".join(long[50_000:60_000])), (4, " ".join(long)), (5, "short")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    same([(r._id, r.n_shingles, r.component_id) for r in ngram_components(d).collect()], X.component_reference(rows))
+    same([(r._id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup(d).collect()], X.substring_reference(rows, 50))
+    assert {r.doc_id: r.n_words for r in line_quality(d).collect()} == {i: len(t.split()) for i, t in rows}
+    for op in ("op4", "op7", "op8"):
+        found = _all_operators()[op](d.where("doc_id in (1, 5)")).collect()
+        assert sorted({r[0] for r in found}) == [1, 5]
+
+
+def test_language_scores_equal_a_plain_softmax(spark):
+    """The mean of the features' calibrated logits, feature by feature."""
+    import math
+
+    from skein.llm.language_id import GRAMS, features, fit, predict
+    from skein.llm._text import text_buffers
+
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(w) for _ in range(30)) for w in (["ka", "tomi", "ro"], ["bel", "gor", "xi"]) for _ in range(40)]
+    model = fit(texts, ["a"] * 40 + ["b"] * 40)
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(texts + ["ka bel", "q", "ka " * 5000])], "doc_id long, text string")
+    for r in predict(d, model).collect():
+        buckets, _ = features(*text_buffers(pa.array([r.text])))
+        words = r.text.split()
+        assert len(buckets) == len(words) + sum(max(0, len(w) + 3 - n) for w in words for n in GRAMS)
+        logit = [sum(float(model.table[b, k]) for b in buckets) / len(buckets) + float(model.bias[k]) for k in range(2)]
+        odds = [math.exp(x - max(logit)) for x in logit]
+        assert r.lang_pred == model.langs[odds.index(max(odds))] and abs(r.score - max(odds) / sum(odds)) < 1e-9
+
+
+def test_sharding_cuts_fewer_edges_than_its_start(spark):
+    """Pairs of equal texts in different shards, against dealing rows by hash and against the least that quotas allow."""
+    from skein.llm.sharding import shard_documents
+
+    rng = random.Random(5)
+    groups = [rng.randrange(1, 30) for _ in range(120)]
+    rows = [(k, f"t{g}") for k, g in enumerate(g for g, n in enumerate(groups) for _ in range(n))] + [(10_000 + k, f"u{k}") for k in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    shard = {r._id: r.shard for r in shard_documents(d, shards=8).collect()}
+
+    def cut(at):
+        cells = collections.Counter((t, at[i]) for i, t in rows)
+        whole = collections.Counter(t for _, t in rows)
+        return sum(n * (n - 1) // 2 for n in whole.values()) - sum(n * (n - 1) // 2 for n in cells.values())
+
+    start = cut({i: hash((i, "x")) % 8 for i, _ in rows})
+    assert cut(shard) <= 0.1 * start
+
+
 def test_empty_tables(spark, nothing):
     from skein.llm.decontamination import decontaminate
     from skein.llm.huffman import read_token_ids, write_token_ids
