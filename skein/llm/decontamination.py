@@ -2,16 +2,17 @@
 
 Words: A-Z lower-cased, then ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``.
 
-The index holds postings (term, document, position) of the terms that the
-tests need. Counts of the test terms over all documents come first; each phrase
-is then looked up from its rarest term: a posting of that term at position p puts
-the phrase at p - offset, and the words around the posting are compared with the
-phrase from there. This takes the place of intersecting stored lists of the phrase's other terms: the
-matches are the same. Postings of terms that are no phrase's rarest are never made, so the
-very frequent words of a phrase cost nothing, and no list is gathered in one
-place: postings stream past the phrases, which are broadcast when counted to
-be at most ``broadcast_rows`` (of ``window`` words each), and are joined by term
-otherwise.
+1. Counts of the test terms over all documents, so each phrase knows its rarest terms.
+2. The index: one scan stores, as a table in the shared folder, the postings (term, document, position) of the terms that are
+   one of the ``LISTS`` rarest of some phrase; very frequent words are in it only for phrases that have nothing rarer. A
+   last posting of the empty term holds each document's length.
+3. Intersection, from the rarest term: a posting at position p puts the phrase at p - offset; the lists so adjusted meet by phrase,
+   document and place. What is in all of them is a candidate.
+4. A phrase's other terms are compared with the words of the candidates' documents, so matches are exact; only documents with a
+   candidate are read for it.
+
+No list is gathered in one place. Phrases and anchors are broadcast when counted to be at most ``broadcast_rows`` (of ``window`` words
+each), and joined by term otherwise; candidates likewise.
 
 Nulls: a null text has no words and is reported with zeros; test rows without an id
 or a word are left out. Repeated rows are reported once each; of equal phrases each item counts. Ties: of a phrase's equally rare terms the
@@ -26,9 +27,9 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import columns_as
+from ._shared import columns_as, written
 
-WINDOW = 13
+WINDOW, LISTS = 13, 2
 BROADCAST_ROWS = 200_000
 _BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -61,14 +62,25 @@ def phrases_of(items: DataFrame, window: int = WINDOW, id_col: str = "item_id",
     return own.select("_item", "_w", at.alias("_at")).select("_item", F.slice("_w", F.col("_at"), window).alias("_phrase")).groupBy("_phrase").agg(F.array_sort(F.collect_set("_item")).alias("_items"))
 
 
-def rarest_terms(docs: DataFrame, phrases: DataFrame, small: bool, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each phrase that can occur with its rarest term over all documents (_term) and where it has it (_offset)."""
+def rarest_terms(docs: DataFrame, phrases: DataFrame, small: bool, lists: int = LISTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each phrase that can occur with its ``lists`` rarest different terms over all documents: _phrase, _items, _term, _offset (of its
+    first place), _nth (1: the rarest), _lists (how many it has)."""
     hint = F.broadcast if small else (lambda x: x)
     terms = phrases.select(F.explode("_phrase").alias("_term")).distinct()
     seen = postings(docs, id_col, text_col).select("_term").join(hint(terms), "_term").groupBy("_term").agg(F.count("*").alias("_n"))
     each = phrases.select("*", F.posexplode("_phrase").alias("_offset", "_term")).join(hint(seen), "_term", "left")
-    best = each.groupBy("_phrase").agg(F.min_by(F.struct("_term", "_offset"), F.struct(F.coalesce("_n", F.lit(0)), "_term", "_offset")).alias("_best"), F.min(F.coalesce("_n", F.lit(0))).alias("_least"), F.any_value("_items").alias("_items"))
-    return best.where("_least > 0").select("_phrase", "_items", F.col("_best._term").alias("_term"), F.col("_best._offset").alias("_offset"))
+    term = each.groupBy("_phrase", "_term").agg(F.min("_offset").alias("_offset"), F.any_value("_n").alias("_n"), F.any_value("_items").alias("_items"))
+    best = term.groupBy("_phrase").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_term", "_offset"))), 1, lists).alias("_best"), F.any_value("_items").alias("_items"))
+    can = best.where(F.col("_best")[0]["n"] > 0)
+    return can.select("_phrase", "_items", F.size("_best").alias("_lists"), F.posexplode("_best").alias("_nth", "_b")).select("_phrase", "_items", "_b._term", F.col("_b._offset").cast("int").alias("_offset"), (F.col("_nth") + 1).alias("_nth"), "_lists")
+
+
+def stored_postings(docs: DataFrame, terms: DataFrame, small: bool, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The index as a table: _id, _row, _pos, _term of the wanted terms (_term) and of the empty one."""
+    ends = docs.sparkSession.range(1).select(F.lit("").alias("_term"))
+    wanted = terms.select("_term").distinct().unionByName(ends)
+    found = postings(docs, id_col, text_col).select("_id", "_row", "_pos", "_term").join(F.broadcast(wanted) if small else wanted, "_term")
+    return written(found.select("_id", "_row", "_pos", "_term"), "postings")
 
 
 def phrase_matches(docs: DataFrame, phrases: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -76,22 +88,28 @@ def phrase_matches(docs: DataFrame, phrases: DataFrame, id_col: str = "doc_id",
     ``docs`` with its length in _start and null in _size and _items.
     """
     small = phrases.limit(broadcast_rows + 1).count() <= broadcast_rows
-    looked = rarest_terms(docs, phrases, small, id_col, text_col)
-    looked = looked.select("_term", F.col("_offset").cast("int").alias("_offset"), "_phrase", "_items")
+    hint = F.broadcast if small else (lambda x: x)
+    anchors = written(rarest_terms(docs, phrases, small, LISTS, id_col, text_col).withColumn("_pid", F.xxhash64("_phrase")), "anchors")
+    index = stored_postings(docs, anchors, small, id_col, text_col)
+    # lists adjusted by offset, from the rarest term on; equal places of all lists are candidates
+    place = ["_pid", "_id", "_row", "_start"]
+    adjusted = lambda nth, *more: index.join(hint(anchors.where(F.col("_nth") == nth).select("_pid", "_term", "_offset", *more)), "_term").select("_pid", "_id", "_row", (F.col("_pos") - F.col("_offset")).alias("_start"), *more).where("_start >= 0")
+    met = adjusted(1, "_lists")
+    for nth in range(2, LISTS + 1):
+        other = adjusted(nth).select(*(F.col(c).alias(f"{c}2") for c in place)).distinct()
+        same = F.expr("_pid = _pid2 and _id <=> _id2 and _row = _row2 and _start = _start2")
+        met = met.where(F.col("_lists") >= nth).join(other, same, "left_semi").unionByName(met.where(F.col("_lists") < nth))
+    found = written(met.select(*place).distinct(), "candidates")
+    few = found.limit(broadcast_rows + 1).count() <= broadcast_rows
+    # pids only name phrases here: a phrase is compared word by word
+    asked = found.join(hint(anchors.where("_nth = 1").select("_pid", "_phrase", "_items")), "_pid").select(F.col("_id").alias("_own"), F.col("_row").alias("_own_row"), "_start", "_phrase", "_items")
+    texts = _with_words(docs, id_col, text_col)
+    held = texts.join(F.broadcast(asked) if few else asked, F.col("_id").eqNullSafe(F.col("_own")) & (F.col("_row") == F.col("_own_row")))
+    whole = (F.col("_start") + F.size("_phrase") <= F.size("_words")) & (F.slice("_words", F.col("_start") + 1, F.size("_phrase")) == F.col("_phrase"))
+    hits = held.where(whole).select("_id", "_row", "_start", F.size("_phrase").alias("_size"), "_items")
     none = F.lit(None).cast("array<string>")
-    ends = docs.sparkSession.range(1).select(F.lit("").alias("_term"), F.lit(0).alias("_offset"), none.alias("_phrase"), none.alias("_items"))
-    keyed = looked.unionByName(ends)
-    start = F.col("_pos") - F.col("_offset")
-    whole = F.col("_phrase").isNull() | ((start >= 0) & (start + F.size("_phrase") <= F.size("_words")) & (F.slice("_words", F.greatest(start, F.lit(0)) + 1, F.size("_phrase")) == F.col("_phrase")))
-    out = ["_id", "_row", start.alias("_start"), F.when(F.col("_phrase").isNotNull(), F.size("_phrase")).alias("_size"), "_items"]
-    index = postings(docs, id_col, text_col)
-    if small:
-        return index.join(F.broadcast(keyed), "_term").where(whole).select(*out)
-    # postings without the words meet the phrases by term; the words come back by document
-    found = index.select("_id", "_row", "_pos", "_term").join(keyed, "_term")
-    own = _with_words(docs, id_col, text_col).dropDuplicates(["_id", "_row"])
-    back = own.withColumnRenamed("_id", "_own").withColumnRenamed("_row", "_own_row")
-    return found.join(back, F.col("_id").eqNullSafe(F.col("_own")) & (F.col("_row") == F.col("_own_row"))).where(whole).select(*out)
+    ends = index.where("_term = ''").select("_id", "_row", F.col("_pos").alias("_start"), F.lit(None).cast("int").alias("_size"), none.alias("_items"))
+    return hits.unionByName(ends)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -139,7 +157,7 @@ def proximity_matches(docs: DataFrame, queries: DataFrame, span: int, id_col: st
     """
     asked = queries.select("query_id", F.array_distinct("terms").alias("_phrase")).where("size(_phrase) > 0")
     small = queries.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    keyed = rarest_terms(docs, asked.groupBy("_phrase").agg(F.collect_set(F.col("query_id").cast("string")).alias("_items")), small, id_col, text_col)
+    keyed = rarest_terms(docs, asked.groupBy("_phrase").agg(F.collect_set(F.col("query_id").cast("string")).alias("_items")), small, 1, id_col, text_col)
     hint = F.broadcast if small else (lambda x: x)
     near = F.exists(F.sequence(F.greatest(F.col("_pos") - span + 1, F.lit(0)), F.col("_pos")), lambda s: F.size(F.array_except("_phrase", F.slice("_words", s + 1, span))) == 0)
     return postings(docs, id_col, text_col).join(hint(keyed), "_term").where(near).select("_id", F.explode("_items").alias("query_id"), "_pos")
