@@ -12,7 +12,7 @@ Words: A-Z lower-cased, then ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``.
    candidate are read for it.
 
 No list is gathered in one place. Phrases and anchors are broadcast when counted to be at most ``broadcast_rows`` (of ``window`` words
-each), and joined by term otherwise; candidates likewise.
+each), and joined by term otherwise; candidates (numbers alone) likewise.
 
 Nulls: a null text has no words and is reported with zeros; test rows without an id
 or a word are left out. Repeated rows are reported once each; of equal phrases each item counts. Ties: of a phrase's equally rare terms the
@@ -101,12 +101,13 @@ def phrase_matches(docs: DataFrame, phrases: DataFrame, id_col: str = "doc_id",
         met = met.where(F.col("_lists") >= nth).join(other, same, "left_semi").unionByName(met.where(F.col("_lists") < nth))
     found = written(met.select(*place).distinct(), "candidates")
     few = found.limit(broadcast_rows + 1).count() <= broadcast_rows
-    # pids only name phrases here: a phrase is compared word by word
-    asked = found.join(hint(anchors.where("_nth = 1").select("_pid", "_phrase", "_items")), "_pid").select(F.col("_id").alias("_own"), F.col("_row").alias("_own_row"), "_start", "_phrase", "_items")
-    texts = _with_words(docs, id_col, text_col)
-    held = texts.join(F.broadcast(asked) if few else asked, F.col("_id").eqNullSafe(F.col("_own")) & (F.col("_row") == F.col("_own_row")))
-    whole = (F.col("_start") + F.size("_phrase") <= F.size("_words")) & (F.slice("_words", F.col("_start") + 1, F.size("_phrase")) == F.col("_phrase"))
-    hits = held.where(whole).select("_id", "_row", "_start", F.size("_phrase").alias("_size"), "_items")
+    # a document's candidates meet its text as one row; the words from each place on meet the phrase, of which a pid is only a name
+    asked = found.groupBy(F.col("_id").alias("_own"), F.col("_row").alias("_own_row")).agg(F.collect_list(F.struct("_pid", "_start")).alias("_at"))
+    size = phrases.agg(F.max(F.size("_phrase"))).first()[0] or 1
+    held = _with_words(docs, id_col, text_col).join(F.broadcast(asked) if few else asked, F.col("_id").eqNullSafe(F.col("_own")) & (F.col("_row") == F.col("_own_row")))
+    pieces = held.select("_id", "_row", F.explode(F.transform("_at", lambda c: F.struct(c["_pid"].alias("_pid"), c["_start"].alias("_start"), F.slice("_words", c["_start"] + 1, size).alias("_piece")))).alias("c")).select("_id", "_row", "c.*")
+    whole = F.slice("_piece", F.lit(1), F.size("_phrase")) == F.col("_phrase")
+    hits = pieces.join(hint(anchors.where("_nth = 1").select("_pid", "_phrase", "_items")), "_pid").where(whole).select("_id", "_row", "_start", F.size("_phrase").alias("_size"), "_items")
     none = F.lit(None).cast("array<string>")
     ends = index.where("_term = ''").select("_id", "_row", F.col("_pos").alias("_start"), F.lit(None).cast("int").alias("_size"), none.alias("_items"))
     return hits.unionByName(ends)
