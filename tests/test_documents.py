@@ -187,3 +187,43 @@ def test_failed_calls_leave_nothing(spark):
     t = spark.createDataFrame([("s/1", "p")], "id string, prompt string")
     assert details.answered_entities(complete(t, broken)).count() == 0
     assert details.answered_events(complete(t, broken), F.lit("turn-001")).count() == 0
+
+
+def test_catalog_without_duplicates(spark):
+    from skein.operators import relations
+
+    e = spark.createDataFrame([("char-kael", "character", "Kael", ["the scout"], 3), ("char-scout-x", "character", "The Scout", None, 1), ("char-lyra", "character", "Lyra Vane", [], 2), ("item-kael", "item", "Kael", [], 2)], "id string, type string, name string, aliases array<string>, first_seen long")
+    edges = spark.createDataFrame([("char-kael", "char-lyra", "trade"), ("char-lyra", "char-kael", "trade"), ("char-kael", "char-scout-x", "other")], "source_id string, target_id string, rel_type string")
+    events = spark.createDataFrame([("evt-1", ["char-lyra", "char-kael", "char-scout-x"])], "id string, refs array<string>")
+    cat, ed, ev = relations.without_duplicates(e, edges, events)
+    assert rows(cat.select("id", "name", "first_seen")) == [("char-lyra", "Lyra Vane", 2), ("char-scout-x", "The Scout", 1), ("item-kael", "Kael", 2)]
+    assert cat.where("id = 'char-scout-x'").first().aliases == ["Kael"]
+    assert rows(ed) == [("char-lyra", "char-scout-x", "trade"), ("char-scout-x", "char-lyra", "trade")] and ev.first().refs == ["char-lyra", "char-scout-x"]
+
+
+def test_documents_of_a_folder_are_validated(spark, tmp_path):
+    from skein.operators import relations
+
+    docs = {"a/evt-1.json": '{"id": "evt-1", "source_turns": ["turn-001"], "type": "birth", "description": "x"}', "b/evt-2.json": '{"id": "two", "source_turns": [], "type": "birth", "description": ""}', "c.json": "{no json", "index.json": "[]"}
+    for name, text in docs.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    found = rows(relations.validated_folder(spark, str(tmp_path), transcripts.EVENT_DDL, relations.event_rules()).select("file", "rule"))
+    assert found == [("c.json", "json"), ("evt-2.json", "description"), ("evt-2.json", "id"), ("evt-2.json", "source_turns")]
+    d = spark.createDataFrame([(["a", "0"], "is short"), ([], "is no object")], "path array<string>, message string")
+    assert rows(d.select(relations.finding(F.col("path"), F.col("message")))) == [("(root): is no object",), ("['a']['0']: is short",)]
+
+
+def test_small_rules(spark):
+    from skein.operators import rules
+
+    d = spark.createDataFrame([("item", "concept-x", 3), ("concept", "concept-x", 4), (None, None, 5)], "type string, id string, n long")
+    assert [r[0] for r in d.select(rules.concept_among_items(F.col("type"), F.col("id"))).collect()] == [True, False, False]
+    s = d.select(prompts.compression_signals(F.col("n"), F.col("n") * 2).alias("s")).first().s
+    assert (s.strategy, s.dropped_relationships, s.entities_included, s.relationships_total) == ("baseline", 0, 3, 6)
+    attrs = spark.createDataFrame([("char-player", {"race": "elf", "mood": "x"}), ("char-a", {"mood": "x"})], "id string, a map<string,string>")
+    assert [r[0] for r in attrs.select(rules.player_attributes(F.col("id"), F.col("a"))).collect()] == [{"race": "elf"}, {"mood": "x"}]
+    keys = ["location"] + [f"k{k}" for k in range(40)] + ["condition"]
+    state = spark.createDataFrame([([(k, "v") for k in keys],), ([("a", "b")],)], "e array<struct<key:string,value:string>>")
+    kept = [[x.key for x in r[0]] for r in state.select(rules.pruned_state(F.col("e"))).collect()]
+    assert kept == [["location", "condition"] + [f"k{k}" for k in range(12, 40)], ["a"]]
