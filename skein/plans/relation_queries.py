@@ -85,12 +85,11 @@ def mention_names(s, d):
     return relations.mention_names(e)
 
 
-_LOG = "l AS (SELECT CASE user_id % 4 WHEN 0 THEN 'A1' WHEN 1 THEN 'A2' WHEN 2 THEN 'B1' ELSE 'B2' END AS run, event_type AS phase, hour(ts) + 24 * date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) + 1 AS turn_no, event_id % 500 + 100 AS tokens FROM events), g AS (SELECT run, run[1] AS arm, phase, turn_no, count(*) AS calls, sum(tokens) AS tokens FROM l GROUP BY ALL)"
+_LOG = "l AS (SELECT CASE user_id % 4 WHEN 0 THEN 'A1' WHEN 1 THEN 'A2' WHEN 2 THEN 'B1' ELSE 'B2' END AS run, event_type AS phase, event_id // 50 + 1 AS turn_no, event_id % 500 + 100 AS tokens FROM events), g AS (SELECT run, run[1] AS arm, phase, turn_no, count(*) AS calls, sum(tokens) AS tokens FROM l GROUP BY ALL)"
 
 
 def _log(s, d):
-    hour = F.hour("ts") + 24 * F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date"))
-    own = domain.table(s, d, "events").select(F.expr("case user_id % 4 when 0 then 'A1' when 1 then 'A2' when 2 then 'B1' else 'B2' end").alias("run"), F.col("event_type").alias("phase"), (hour + 1).cast("long").alias("turn_no"), (F.col("event_id") % 500 + 100).alias("tokens"))
+    own = domain.table(s, d, "events").select(F.expr("case user_id % 4 when 0 then 'A1' when 1 then 'A2' when 2 then 'B1' else 'B2' end").alias("run"), F.col("event_type").alias("phase"), (F.floor(F.col("event_id") / 50) + 1).cast("long").alias("turn_no"), (F.col("event_id") % 500 + 100).alias("tokens"))
     return own.select("run", F.substring("run", 1, 1).alias("arm"), "phase", "turn_no", F.lit(1).alias("calls"), "tokens")
 
 
