@@ -88,7 +88,7 @@ class Encoder:
     def _clear(self) -> None:
         self.slot_hash = np.zeros((2, self.SLOTS), U64)
         self.slot_unit = np.full((2, self.SLOTS), -1, np.int32)
-        self.slot_check = np.zeros((2, self.SLOTS), U64)
+        self.slot_check = np.zeros((2, self.SLOTS), np.uint32)
         self.ids, self.n_ids = np.zeros(1 << 16, np.uint32), 0
         self.first, self.size, self.n_units = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32), 0
 
@@ -151,13 +151,16 @@ class Encoder:
             self._clear()
         start = unit_starts(buf, offs, self.keeps_space)
         end = np.r_[start[1:], len(buf)][: len(start)]
-        h, check = span_hash(buf, start, end), span_ends(buf, start, end)
+        h, check = span_hash(buf, start, end), span_ends(buf, start, end).astype(np.uint32)
         unit = self._find(h, check)
         miss = np.flatnonzero(unit < 0)
         if len(miss):
-            new, where, back = np.unique(np.stack([h[miss], check[miss]]), axis=1, return_index=True, return_inverse=True)
+            _, where, back = np.unique(h[miss], return_index=True, return_inverse=True)
+            if (check[miss] != check[miss][where][back]).any():  # units of one hash
+                _, where, back = np.unique(np.stack([h[miss], check[miss].astype(U64)]), axis=1, return_index=True, return_inverse=True)
+                back = back.reshape(-1)
             at = miss[where]
-            unit[miss] = self._learn([buf[s:e].tobytes().decode() for s, e in zip(start[at], end[at])], new[0], new[1])[back.reshape(-1)]
+            unit[miss] = self._learn([buf[s:e].tobytes().decode() for s, e in zip(start[at], end[at])], h[at], check[at])[back]
         size = self.size[unit]
         total = np.r_[0, np.cumsum(size, dtype=np.int64)]
         pos = np.arange(total[-1]) - np.repeat(total[:-1] - self.first[unit], size)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import columns_as
-from ._text import U64, Words, chunks, text_buffers
+from ._text import U64, Words, chunks, give_back, text_buffers
 from ._tokens import encoder
 
 WINDOW, TERMS, SHARD_BYTES, DENSE, FIRST = 1024, 1 << 16, 8 << 20, 8, 256
@@ -222,5 +222,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int
                 cols.append(pa.array([raw[s : s + n] for s, n in zip(begin.tolist(), pieces[:, 2].tolist())], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(cols, names)
             first_sequence += int(pieces[:, 3].max(initial=-1)) + 1
+        give_back()
 
     return base.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids)
