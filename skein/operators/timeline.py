@@ -58,9 +58,13 @@ def period_labels(transitions: DataFrame, key: str = "session_id", width: int =
     return first.select(key, "bucket", F.concat(season_label(F.col("season")), F.lit(" (turns "), low + 1, F.lit("–"), low + width, F.lit(")")).alias("label"))
 
 
-def summary_of_now(timeline: DataFrame, key: str = "session_id") -> DataFrame:
-    """(key, last_turn, season, anchor_turn, anchor_label, turn_span, estimated_day, confidence) of each session's timeline."""
-    last = timeline.groupBy(key).agg(F.coalesce(F.max("turn_no"), F.lit(1)).alias("last_turn"), F.max_by("season", F.when(F.col("season").isNotNull(), F.struct("turn_no", "ord"))).alias("season"))
+def summary_of_now(timeline: DataFrame, key: str = "session_id", at: Column | None = None) -> DataFrame:
+    """(key, last_turn, season, anchor_turn, anchor_label, turn_span, estimated_day, confidence) of each session's timeline.
+
+    at: the season is that of the entry with the greatest ``at``; by turn, then ord, if none is given and among equals.
+    """
+    order = F.struct(*([] if at is None else [at.alias("_at")]), "turn_no", "ord")
+    last = timeline.groupBy(key).agg(F.coalesce(F.max("turn_no"), F.lit(1)).alias("last_turn"), F.max_by("season", F.when(F.col("season").isNotNull(), order)).alias("season"))
     out = last.join(anchors(timeline, key).select(key, F.col("turn_no").alias("anchor_turn"), F.col("label").alias("anchor_label"), "day"), key, "left")
     out = out.withColumns({"anchor_turn": F.coalesce("anchor_turn", F.lit(1)).cast("bigint"), "anchor_label": F.coalesce("anchor_label", F.lit("Day 0")), "day": F.coalesce("day", F.lit(0))})
     span = F.col("last_turn") - F.col("anchor_turn")
