@@ -91,13 +91,36 @@ def player_entity(entities: DataFrame) -> DataFrame:
     return entities.withColumn("_rank", rank).where("_rank is not null").orderBy("_rank", F.when(F.col("_rank") == 1, F.col("id")), "ord").limit(1).drop("_rank")
 
 
-def _edit_pieces(stem: Column, most: int = 2) -> Column:
-    """Strings of which two stems within ``most`` edits share one: the stem with up to ``most`` characters left out."""
-    once = lambda s: F.transform(F.sequence(F.lit(1), F.char_length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.char_length(s))))
-    all_ = F.array(stem)
-    for _ in range(most):
-        all_ = F.array_distinct(F.concat(all_, F.flatten(F.transform(all_, lambda s: F.when(F.char_length(s) > 1, once(s)).otherwise(F.array().cast("array<string>"))))))
-    return all_
+def _edit_keys(stem: str, most: int = 2) -> Column:
+    """Hashes of which two stems with one first letter within ``most`` (1 or 2) edits share one: of the letter and the rest with up to ``most`` characters left out."""
+    rest = f"substring({stem}, 2)"
+    left_out = f"concat(substring({rest}, 1, i - 1), substring({rest}, i + 1, j - i - 1), substring({rest}, j + 1))"
+    last = f"char_length({stem})"  # one place behind the rest: nothing is left out
+    return F.expr(f"array_distinct(flatten(transform(sequence(1, {last}), i -> transform(sequence({'i' if most > 1 else last}, {last}), j -> xxhash64(substring({stem}, 1, 1), {left_out})))))")
+
+
+def _near_stems(stems: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs (_stem, _kstem, _d) of different stems within 2 edits and with the same first letter. stems: _stem; known: _kstem."""
+    sized = lambda df, c: df.select(c).distinct().withColumn("_c", F.substring(c, 1, 1)).withColumn("_n", F.char_length(c))
+    around = lambda df: df.select("_c", F.explode(F.sequence(F.col("_n") - 2, F.col("_n") + 2)).alias("_n")).distinct()
+    own, ids = sized(stems, "_stem"), sized(known, "_kstem")
+    # only stems of which the other table has one of the letter and about the length are taken apart
+    left = own.join(around(ids), ["_c", "_n"], "left_semi").select("_stem", F.explode(_edit_keys("_stem")).alias("_p"))
+    right = ids.join(around(own), ["_c", "_n"], "left_semi").select("_kstem", F.explode(_edit_keys("_kstem")).alias("_p"))
+    return left.join(right.hint("merge"), "_p").withColumn("_d", F.levenshtein("_stem", "_kstem", 2)).where(F.col("_d").between(0, 2)).select("_stem", "_kstem", "_d").distinct()
+
+
+def _contained(small: DataFrame, large: DataFrame, strict: bool) -> DataFrame:
+    """Pairs of rows (_x, _ws: distinct words) and (_y, _vs) of which the first's words are all in the second's, which are more if ``strict``.
+
+    They meet by the word of the first that fewest of the second have; one that has a word of none is left out before.
+    """
+    each = large.select("_y", "_vs", F.explode("_vs").alias("_w"))
+    df = each.groupBy("_w").agg(F.count("*").alias("_df"))
+    known = small.select("_x", "_ws", F.explode("_ws").alias("_w")).join(df.hint("merge"), "_w").groupBy("_x", "_ws").agg(F.count("*").alias("_k"), F.min_by("_w", F.struct("_df", "_w")).alias("_w"))
+    met = known.where(F.col("_k") == F.size("_ws")).join(each.hint("merge"), "_w")
+    more = F.size("_vs") > F.size("_ws") if strict else F.lit(True)
+    return met.where(more & (F.size(F.array_intersect("_ws", "_vs")) == F.size("_ws"))).select("_x", "_y")
 
 
 def normalized_ids(raw: DataFrame, known: DataFrame) -> DataFrame:
@@ -105,21 +128,28 @@ def normalized_ids(raw: DataFrame, known: DataFrame) -> DataFrame:
 
     A known id matches whole, else by its stem: all words of the shorter stem are in the longer (the shortest such id, then
     the least, wins), else at most 2 edits away with the same first letter (the nearest, then the least). Else the id is new.
-    Candidates meet by a shared word or by the stem with up to two characters left out, so no pair of all ids is formed.
+    Candidates meet by the rarest word of the shorter stem, or by hashes of the stem with up to two characters left out, so no pair
+    of all ids is formed. Joins of exploded rows are merged by hint: Spark takes them for as few as the rows before, and would broadcast them.
     """
+    from skein.sources.scratch import written
+
     kind = type_of_prefix(F.lower("raw"))
     own = raw.select("raw").where("raw <> ''").distinct().select("raw", fixed_prefix(F.lower("raw"), kind).alias("_id")).withColumn("_stem", F.regexp_replace("_id", r"^[a-z]+-", ""))
     ids = known.select(F.col("id").alias("_known"), F.regexp_replace(F.lower("id"), r"^[a-z]+-", "").alias("_kstem")).where("_kstem <> ''").distinct()
-    exact = own.join(ids.groupBy(F.lower("_known").alias("_id")).agg(F.min_by("_known", F.struct(F.col("_known") != F.lower("_known"), F.col("_known"))).alias("_exact")), "_id", "left")
-    open_ = exact.where("_exact is null and _stem <> ''").select("raw", "_stem")
+    least = ids.groupBy(F.lower("_known").alias("_id")).agg(F.min_by("_known", F.struct(F.col("_known") != F.lower("_known"), F.col("_known"))).alias("_exact"))
+    exact = written(own.join(least.hint("merge"), "_id", "left"), "exact-ids")
+    stems = exact.where("_exact is null and _stem <> ''").select("_stem").distinct()
+    # of equal stems the shortest id, then the least, and the least id: the ones that can win
+    best = ids.groupBy("_kstem").agg(F.min_by("_known", F.struct(F.char_length("_known"), "_known")).alias("_short"), F.min("_known").alias("_least"))
     tokens = lambda c: F.array_distinct(F.split(c, "-"))
-    by_word = open_.select("raw", "_stem", F.explode(tokens(F.col("_stem"))).alias("_w")).join(ids.select("_known", "_kstem", F.explode(tokens(F.col("_kstem"))).alias("_w")), "_w")
-    a, b = tokens(F.col("_stem")), tokens(F.col("_kstem"))
-    words = by_word.where(F.size(F.array_intersect(a, b)) == F.least(F.size(a), F.size(b))).groupBy("raw").agg(F.min_by("_known", F.struct(F.char_length("_known"), "_known")).alias("_by_word"))
-    by_piece = open_.select("raw", "_stem", F.explode(_edit_pieces(F.col("_stem"))).alias("_p")).join(ids.select("_known", "_kstem", F.explode(_edit_pieces(F.col("_kstem"))).alias("_p")), "_p")
-    near = by_piece.withColumn("_d", F.levenshtein("_stem", "_kstem")).where((F.col("_d") <= 2) & (F.substring("_stem", 1, 1) == F.substring("_kstem", 1, 1))).groupBy("raw").agg(F.min_by("_known", F.struct("_d", "_known")).alias("_by_edit"))
-    out = exact.join(words, "raw", "left").join(near, "raw", "left")
-    return out.select("raw", F.coalesce("_exact", "_by_word", "_by_edit", "_id").alias("id"))
+    ours, theirs = stems.select(F.col("_stem").alias("_s"), tokens(F.col("_stem")).alias("_t")), best.select(F.col("_kstem").alias("_s"), tokens(F.col("_kstem")).alias("_t"))
+    within = _contained(ours.toDF("_x", "_ws"), theirs.toDF("_y", "_vs"), False).toDF("_stem", "_kstem")
+    around = _contained(theirs.toDF("_x", "_ws"), ours.toDF("_y", "_vs"), True).toDF("_kstem", "_stem")
+    met = within.unionByName(around).join(best.hint("merge"), "_kstem")
+    words = written(met.groupBy("_stem").agg(F.min_by("_short", F.struct(F.char_length("_short"), "_short")).alias("_by_word")), "by-word")
+    near = _near_stems(stems.join(words.hint("merge"), "_stem", "left_anti"), best).join(best.hint("merge"), "_kstem").groupBy("_stem").agg(F.min_by("_least", F.struct("_d", "_least")).alias("_by_edit"))
+    out = exact.join(words.hint("merge"), "_stem", "left").join(near.hint("merge"), "_stem", "left")
+    return out.select("raw", F.when(F.col("_exact").isNotNull(), F.col("_exact")).otherwise(F.coalesce("_by_word", "_by_edit", "_id")).alias("id"))
 
 
 def canonical_ids(incoming: DataFrame, known: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 """Queries and operators on what only larger tables hold, against their SQL, plain versions or plans."""
 
 import datetime as dt
+import random
+import re
 
 import duckdb
 
@@ -26,3 +28,48 @@ def test_timeline_summary_beyond_a_million_events(spark, tmp_path):
     events = [(398, 7, "view"), (5_000_397, 7, "click"), (399, 8, "view"), (400, 8, "click")]  # turns 399, 398; 400, 1
     spark.createDataFrame([(i, ts, u, t, 0.0, "{}") for i, u, t in events], "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
     assert [r[2] for r in same_as_sql(spark, tmp_path, "timeline_summary")] == ["mid_winter", "early_spring"]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_normal_ids_broadcast_no_exploded_rows(spark, sf_dir):
+    plan = plan_of(entry.queries()["normal_ids"](spark, sf_dir))
+    assert "SortMergeJoin [_p#" in plan and "BroadcastHashJoin [_p#" not in plan
+
+
+def test_normal_ids_equal_brute_force(spark):
+    from skein.operators.catalog import normalized_ids
+
+    r = random.Random(5)
+    some = lambda: "-".join("".join(r.choice("abc") for _ in range(r.randint(1, 6))) for _ in range(r.randint(1, 3)))
+    known = sorted({r.choice(("char-", "loc-", "")) + some() for _ in range(60)} | {"char-a-b", "loc-a-b", "char-Abc", "char-a--b"})
+    raw = sorted({r.choice(("char-", "CHAR-", "npc-", "")) + some() for _ in range(150)} | {"char-a--", "b-a", "char-a", "char-", "char-bcabcA"})
+    stem = lambda x: re.sub("^[a-z]+-", "", x)
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    def best(x):
+        low = x.lower()
+        i = low if re.match("(char|loc|faction|item|creature|concept)-", low) else "char-" + stem(low)
+        if same := [k for k in known if k.lower() == i and stem(i)]:
+            return min(same, key=lambda k: (k != i, k))
+        a, own = stem(i), []
+        for k in known:
+            b = stem(k.lower())
+            s, t = set(a.split("-")), set(b.split("-"))
+            if a and b and len(s & t) == min(len(s), len(t)):
+                own.append((0, len(k), k))
+            elif a and b and a[0] == b[0] and edits(a, b) <= 2:
+                own.append((1, edits(a, b), k))
+        return min(own)[2] if own else i
+
+    got = dict(map(tuple, normalized_ids(spark.createDataFrame([(x,) for x in raw], "raw string"), spark.createDataFrame([(x,) for x in known], "id string")).collect()))
+    assert got == {x: best(x) for x in raw}
