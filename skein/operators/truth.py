@@ -36,18 +36,39 @@ def _like(pattern: Column) -> Column:
     return F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(F.regexp_replace(pattern, r"([.+(){}|^$\\])", r"\\$1"), r"\*", ".*"), r"\?", "."), F.lit("$"))
 
 
+def _wild_matches(patterns: DataFrame, ids: DataFrame) -> DataFrame:
+    """(p, id): the least id that fits each shell pattern (p).
+
+    What stands before a pattern's first * or class, and where that says nothing behind its last, has a fixed length: ids meet it
+    by the characters at the places without ?, once for each form (length and places) that patterns have. Only patterns
+    that say nothing at either end are compared with every id.
+    """
+    head, tail = F.regexp_extract("p", r"^[^*\[]*", 0), F.regexp_extract(F.reverse("p"), r"^[^*\]]*", 0)
+    says = lambda c: F.replace(c, F.lit("?"), F.lit("")) != ""
+    ends = patterns.withColumn("_re", _like(F.col("p"))).withColumn("_end", F.when(says(head), 0).when(says(tail), 1)).withColumn("_key", F.when(F.col("_end") == 0, head).otherwise(tail))
+    own = ends.where("_end is not null").withColumn("_form", F.regexp_replace("_key", r"(?s)[^?]", "x"))
+    forms = own.select("_end", "_form").distinct()
+    few = lambda df: F.broadcast(df) if df.limit(MOST_PATTERNS + 1).count() <= MOST_PATTERNS else df
+    turned = ids.select("id", F.posexplode(F.array("id", F.reverse("id"))).alias("_end", "_id")).join(few(forms), "_end").where(F.char_length("_id") >= F.char_length("_form"))
+    at = F.expr("if(instr(_form, '?') = 0, substring(_id, 1, char_length(_form)), array_join(transform(sequence(1, char_length(_form)), i -> if(substring(_form, i, 1) = '?', '?', substring(_id, i, 1))), ''))")
+    met = own.select("p", "_re", "_end", "_form", "_key").join(turned.select("id", "_end", "_form", at.alias("_key")).hint("merge"), ["_end", "_form", "_key"]).where(F.expr("id rlike _re")).select("p", "id")
+    rest = ends.where("_end is null").select("p", "_re")
+    open_ = ids.select("id").join(few(rest), F.expr("id rlike _re")).select("p", "id")
+    return met.unionByName(open_).groupBy("p").agg(F.min("id").alias("id"))
+
+
 def independent_characters(expected: DataFrame, characters: DataFrame, player_aliases: DataFrame) -> DataFrame:
     """expected: name, id_patterns, optional, least_turn; characters: id, name, aliases, last_updated; player_aliases: alias.
 
     A character is found by id (the first pattern that fits, then the least id), else by name, else by alias.
     """
-    patterns = expected.select("name", F.posexplode("id_patterns").alias("_at", "p"))
-    whole = patterns.where(~F.col("p").rlike(r"[*?\[]")).join(characters.select(F.col("id").alias("p")), "p").select("name", "_at", F.col("p").alias("id"))
-    wild = patterns.where(F.col("p").rlike(r"[*?\[]")).withColumn("_re", _like(F.col("p")))
-    few = wild.limit(MOST_PATTERNS + 1).count() <= MOST_PATTERNS
-    loose = characters.select("id").join(F.broadcast(wild) if few else wild, F.expr("id rlike _re")).select("name", "_at", "id")
-    by_id = whole.unionByName(loose).groupBy("name").agg(F.min(F.struct("_at", "id")).alias("m")).select("name", F.col("m.id").alias("_id"))
-    met = expected.join(by_id, "name", "left").join(found_by_name(expected, characters).withColumnRenamed("id", "_named"), "name", "left")
+    key = ["name", "id_patterns"]
+    patterns = expected.select(*key).distinct().select(*key, F.posexplode("id_patterns").alias("_at", "p"))
+    is_wild = F.col("p").rlike(r"[*?\[]")
+    whole = patterns.where(~is_wild).join(characters.select(F.col("id").alias("p")), "p").select(*key, "_at", F.col("p").alias("id"))
+    loose = patterns.where(is_wild).join(_wild_matches(patterns.where(is_wild).select("p").distinct(), characters.select("id")).hint("merge"), "p").select(*key, "_at", "id")
+    by_id = whole.unionByName(loose).groupBy(*key).agg(F.min(F.struct("_at", "id")).alias("m")).select(*key, F.col("m.id").alias("_id"))
+    met = expected.join(by_id, key, "left").join(found_by_name(expected, characters).withColumnRenamed("id", "_named"), "name", "left")
     met = met.withColumn("id", F.coalesce("_id", "_named")).withColumn("_note", F.when(F.col("_id").isNull() & F.col("_named").isNotNull(), F.concat(F.lit(" (matched by "), "how", F.lit(")"))).otherwise(""))
     merged = player_aliases.select(F.lower("alias").alias("_low")).distinct().withColumn("_merged", F.lit(True))
     met = met.join(characters.select("id", "last_updated"), "id", "left").withColumn("_low", F.lower("name")).join(merged, "_low", "left")

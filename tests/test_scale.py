@@ -73,3 +73,26 @@ def test_normal_ids_equal_brute_force(spark):
 
     got = dict(map(tuple, normalized_ids(spark.createDataFrame([(x,) for x in raw], "raw string"), spark.createDataFrame([(x,) for x in known], "id string")).collect()))
     assert got == {x: best(x) for x in raw}
+
+
+def test_wildcards_meet_ids_by_equality(spark, sf_dir):
+    plan = plan_of(entry.queries()["truth_characters"](spark, sf_dir))
+    assert "SortMergeJoin [_end#" in plan
+
+
+def test_wildcards_equal_brute_force(spark):
+    from skein.operators.truth import _wild_matches
+
+    ids = ["char-a", "char-b", "char-ab", "loc-ab", "b-a", "", "a", "char-\U0001f600b", "cha?-a", "char-a.b"]
+    patterns = ["char-*", "ch?r-?", "*-ab", "*-?b", "?-a", "[cl]*", "*h*", "*", "?", "??ar-*b", "char-[ab]", "*.b", "zz*", "char-?b", "*?", "[cl]*-ab", "cha?-a*"]
+    fits = lambda p, i: re.fullmatch("".join({"*": ".*", "?": "."}.get(x, x) if x in "*?[]" else re.escape(x) for x in p), i)
+    got = dict(map(tuple, _wild_matches(spark.createDataFrame([(p,) for p in patterns], "p string"), spark.createDataFrame([(i,) for i in ids], "id string")).collect()))
+    assert got == {p: min(own) for p in patterns if (own := [i for i in ids if fits(p, i)])}
+
+
+def test_same_names_keep_their_own_patterns(spark):
+    from skein.operators.truth import independent_characters
+
+    expected = spark.createDataFrame([("Kim", ["char-k1*"], False, None), ("Kim", ["char-k2*"], False, None)], "name string, id_patterns array<string>, optional boolean, least_turn long")
+    characters = spark.createDataFrame([("char-k1", "x", None, 1), ("char-k2", "y", None, 1)], "id string, name string, aliases array<string>, last_updated long")
+    assert sorted(r.detail for r in independent_characters(expected, characters, spark.createDataFrame([("z",)], "alias string")).collect()) == ["char-k1", "char-k2"]
