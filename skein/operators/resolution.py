@@ -13,31 +13,39 @@ def fuzzy_pairs(names: DataFrame, most: int = 2, raw: bool = False) -> DataFrame
 
     Blocks by deletion neighbourhoods would be wider than needed here: names within k edits
     share one of k + 1 pieces at a shifted place, so pieces meet by equality and only those pairs are measured.
+    Joins of exploded rows are merged by hint, here and below: Spark takes them for as few as the rows before, and would broadcast them.
     raw: names are compared as they are, not normalised.
     """
     n = names.select("id", "type", (F.col("name") if raw else normal_name(F.col("name"))).alias("name")).where("name <> ''")
-    size = F.floor(F.char_length("name") / (most + 1))
-    # left: its own pieces; right: every substring of a piece's size near the piece's place
-    cut = F.expr(f"transform(sequence(0, {most}), k -> struct(k as k, int(k * floor(char_length(name) / {most + 1}) + 1) as at, if(k = {most}, char_length(name), int(floor(char_length(name) / {most + 1}))) as len))")
-    left = n.where(size > 0).select("id", "type", "name", F.explode(cut).alias("p")).select("id", "type", "name", F.char_length("name").alias("n"), F.col("p.k").alias("k"), F.expr("substring(name, p.at, p.len)").alias("piece"))
-    places = F.expr(f"flatten(transform(sequence(greatest(1, char_length(name) - {most}), char_length(name) + {most}), m -> transform(sequence(0, {most}), k -> struct(m as n, k as k, int(k * floor(m / {most + 1}) + 1) as at, if(k = {most}, m, int(floor(m / {most + 1}))) as len))))")
-    right = n.select(F.col("id").alias("id_b"), "type", F.col("name").alias("name_b"), F.explode(places).alias("p")).select("id_b", "type", "name_b", F.col("p.n").alias("n"), F.col("p.k").alias("k"), F.explode(F.expr(f"array_distinct(transform(sequence(-{most}, {most}), d -> substring(name_b, greatest(1, p.at + d), p.len)))")).alias("piece"))
-    met = left.join(right, ["type", "n", "k", "piece"]).select("id", "id_b", "name", "name_b").where("id <> id_b").distinct()
-    short = n.where(size == 0)
-    few = short.select("id", "type", "name").join(n.select(F.col("id").alias("id_b"), "type", F.col("name").alias("name_b")).where(F.char_length("name_b") <= 2 * most), "type").where("id <> id_b").select("id", "id_b", "name", "name_b")
-    distance = F.levenshtein("name", "name_b", most)
-    close = met.unionByName(few).withColumn("distance", distance).where(F.col("distance").between(0, most))
-    return close.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b"), F.col("distance").cast("bigint").alias("distance")).distinct()
+    own = n.select("type", "name").distinct().withColumn("n", F.char_length("name"))
+    whole = own.where(F.floor(F.col("n") / (most + 1)) > 0)
+    # left: its own pieces; right: every substring of a piece's size near the piece's place, for the lengths that names have
+    at = lambda m: f"int(k * floor({m} / {most + 1}) + 1)"
+    size = lambda m: f"if(k = {most}, {m}, int(floor({m} / {most + 1})))"
+    cut = F.expr(f"transform(sequence(0, {most}), k -> xxhash64(n, k, substring(name, {at('n')}, {size('n')})))")
+    left = whole.select("type", "name", F.explode(cut).alias("_h"))
+    right = own.select("type", F.col("name").alias("name_b"), F.explode(F.sequence(F.greatest(F.lit(1), F.col("n") - most), F.col("n") + most)).alias("m")).join(whole.select("type", F.col("n").alias("m")).distinct(), ["type", "m"], "left_semi")
+    near_by = F.expr(f"array_distinct(flatten(transform(sequence(0, {most}), k -> transform(sequence(-{most}, {most}), d -> xxhash64(m, k, substring(name_b, greatest(1, {at('m')} + d), {size('m')}))))))")
+    met = left.join(right.select("type", "name_b", F.explode(near_by).alias("_h")).hint("merge"), ["type", "_h"]).select("type", "name", "name_b")
+    few = own.where(F.floor(F.col("n") / (most + 1)) == 0).select("type", "name").join(own.where(F.col("n") <= 2 * most).select("type", F.col("name").alias("name_b")), "type")
+    close = met.unionByName(few).where("name <> name_b").withColumn("distance", F.levenshtein("name", "name_b", most)).where(F.col("distance").between(0, most)).distinct()
+    ids = n.select(F.col("id").alias("id_b"), "type", F.col("name").alias("name_b")).hint("merge")
+    unlike = close.join(n.hint("merge"), ["type", "name"]).join(ids, ["type", "name_b"]).select("id", "id_b", "distance")
+    # names that several ids have
+    copies = n.join(n.groupBy("type", "name").agg(F.count("*").alias("_n")).where("_n > 1").hint("merge"), ["type", "name"], "left_semi")
+    alike = copies.join(copies.select(F.col("id").alias("id_b"), "type", "name").hint("merge"), ["type", "name"]).where("id < id_b").select("id", "id_b", F.lit(0).alias("distance"))
+    return unlike.unionByName(alike).select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b"), F.col("distance").cast("bigint").alias("distance")).where("a <> b").distinct()
 
 
 # Words of names that say nothing of who it is.
 FILLERS = "a an the of and with in on to figure material party bowl tool small large old new dark light some other".split()
 
 
-def _by_shared(parts: DataFrame, need: str, good: str) -> DataFrame:
+def _by_shared(parts: DataFrame, need: str, good: str, smaller: str = "true", larger: str = "true") -> DataFrame:
     """Pairs (a, b) of rows (id, type, parts) with enough parts in common, counted on the smaller set of the two.
 
-    need: SQL for the parts that a smaller set of size n must share; good: SQL over n (its size), k (shared).
+    need: SQL for the parts that a smaller set of size n must share; good: SQL over n (its size), k (shared). smaller, larger: SQL
+    over n, the sizes of which the two may be.
     Only the rarest n - need + 1 parts of a set are looked up, in all parts of the sets at least as large: a
     pair that shares enough has one of them in common. So frequent words make no pairs unless a set has nothing rarer.
     """
@@ -45,36 +53,66 @@ def _by_shared(parts: DataFrame, need: str, good: str) -> DataFrame:
     each = sized.select("id", "type", "n", "parts", F.explode("parts").alias("part"))
     df = each.groupBy("type", "part").agg(F.count("*").alias("df"))
     w = Window.partitionBy("type", "id").orderBy("df", "part")
-    rare = each.join(df, ["type", "part"]).withColumn("_k", F.row_number().over(w)).where(F.expr(f"_k <= n - ({need}) + 1"))
-    met = rare.select("type", "part", F.col("id").alias("a"), "n", F.col("parts").alias("pa")).join(each.select("type", "part", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("parts").alias("pb")), ["type", "part"])
+    rare = each.where(smaller).join(df.hint("merge"), ["type", "part"]).withColumn("_k", F.row_number().over(w)).where(F.expr(f"_k <= n - ({need}) + 1"))
+    met = rare.select("type", "part", F.col("id").alias("a"), "n", F.col("parts").alias("pa")).join(each.where(larger).select("type", "part", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("parts").alias("pb")).hint("merge"), ["type", "part"])
     met = met.where("n < nb or (n = nb and a <> b)").withColumn("k", F.size(F.array_intersect("pa", "pb"))).where(good)
     return met.select("a", "b").distinct()
 
 
-def same_entities(entities: DataFrame) -> DataFrame:
+#: Tokens of the longest name that is found by each three of its tokens.
+LONG_NAME = 24
+
+
+def _token_links(parts: DataFrame) -> DataFrame:
+    """Links (a, b) of rows (id, type, parts), few, with the components of the pairs that share all of a set of two or one, or half of a larger one's.
+
+    All sets that have one, two or three parts in common are linked with the smallest of them, where that many are enough for its
+    size: one, up to four, five and six parts. Sets of seven parts on as the smaller ones, and very large ones of those of five and six, meet as pairs.
+    """
+    sized = parts.where(F.size("parts") > 0).select("id", "type", F.array_sort("parts").alias("parts"), F.size("parts").alias("n"))
+    single = sized.where("n = 1").groupBy("type", F.col("parts")[0].alias("_key")).agg(F.min("id").alias("a"))
+    ones = sized.select("type", "id", F.explode("parts").alias("_key")).join(single.hint("merge"), ["type", "_key"]).select("a", F.col("id").alias("b"))
+    two = F.expr("flatten(transform(sequence(1, n - 1), i -> transform(sequence(i + 1, n), j -> concat_ws(' ', parts[i - 1], parts[j - 1]))))")
+    three = F.expr("flatten(flatten(transform(sequence(1, n - 2), i -> transform(sequence(i + 1, n - 1), j -> transform(sequence(j + 1, n), k -> concat_ws(' ', parts[i - 1], parts[j - 1], parts[k - 1]))))))")
+    out = ones
+    for have, keys, enough in (("n >= 2", two, 4), (f"n between 5 and {LONG_NAME}", three, 6)):
+        each = sized.where(have).select("type", "id", "n", F.explode(keys).alias("_key"))
+        least = each.groupBy("type", "_key").agg(F.min(F.struct("n", "id")).alias("m"), F.count("*").alias("_all")).where((F.col("_all") > 1) & (F.col("m.n") <= enough)).select("type", "_key", F.col("m.id").alias("a"))
+        out = out.unionByName(each.select("type", "id", "_key").join(least.hint("merge"), ["type", "_key"]).select("a", F.col("id").alias("b")))
+    for smaller, larger in (("n >= 7", "true"), ("n between 5 and 6", f"n > {LONG_NAME}")):
+        out = out.unionByName(_by_shared(parts, "(n + 1) div 2", "2 * k >= n", smaller, larger))
+    return out.where("a <> b").distinct()
+
+
+def same_entities(entities: DataFrame, links: bool = False) -> DataFrame:
     """Pairs (a, b) of ids of one type that mean one entity, by any of six rules. entities: id, type, name, aliases (array).
 
     A name or alias in common; two tokens at least of the smaller name, all in the other; all tokens of a smaller name of
     two or one, half of a longer one's, in common (tokens without FILLERS); a name of four letters and more that begins
     a token of the other; two parts at least of the smaller id, all in the other; ids' stems of six letters and more within
-    two edits, with the same first letter. Each rule meets its pairs by equality, none by a product.
+    two edits, with the same first letter. Each rule meets its pairs by equality, none by a product. links: not all pairs that share
+    tokens, which grow by the square, but enough for the same components.
     """
     own = entities.select("id", "type", F.lower(F.trim("name")).alias("name"), F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"))
     keys = own.select("id", "type", F.explode(F.array_distinct(F.transform(F.concat(F.array("name"), "aliases"), lambda x: F.lower(F.trim(x))))).alias("key")).where("key <> ''")
     first = keys.groupBy("type", "key").agg(F.min("id").alias("a"))
-    named = keys.join(first, ["type", "key"]).where("a <> id").select("a", F.col("id").alias("b"))
+    named = keys.join(first.hint("merge"), ["type", "key"]).where("a <> id").select("a", F.col("id").alias("b"))
 
     # equal names are linked above: one id stands for each name
     one = own.where("name <> ''").groupBy("type", "name").agg(F.min("id").alias("id"))
     tokens = F.array_except(F.filter(F.split(F.replace("name", F.lit("-"), F.lit(" ")), r"\s+"), lambda x: x != ""), F.array(*map(F.lit, FILLERS)))
-    by_token = _by_shared(one.select("id", "type", tokens.alias("parts")), "if(n <= 2, n, (n + 1) div 2)", "k = n and n <= 2 or n > 2 and 2 * k >= n")
-    begins = one.select("type", F.col("id").alias("b"), F.col("name").alias("long"), F.explode(F.array_distinct(F.filter(F.split(F.replace("name", F.lit("-"), F.lit(" ")), r"\s+"), lambda t: F.char_length(t) > 4))).alias("t"))
+    words = one.select("id", "type", tokens.alias("parts"))
+    by_token = _token_links(words) if links else _by_shared(words, "if(n <= 2, n, (n + 1) div 2)", "k = n and n <= 2 or n > 2 and 2 * k >= n")
+    # only a name without a space or hyphen begins a token, and only of a token with its first four letters
+    starts = one.where(F.col("name").rlike(r"^[^\s-]{4,}$"))
+    begins = one.select("type", F.col("id").alias("b"), F.explode(F.array_distinct(F.filter(F.split(F.replace("name", F.lit("-"), F.lit(" ")), r"\s+"), lambda t: F.char_length(t) > 4))).alias("t"))
+    begins = begins.withColumn("_4", F.substring("t", 1, 4)).join(starts.select("type", F.substring("name", 1, 4).alias("_4")).distinct().hint("merge"), ["type", "_4"], "left_semi")
     begins = begins.select("type", "b", F.explode(F.transform(F.sequence(F.lit(4), F.char_length("t") - 1), lambda k: F.substring("t", F.lit(1), k))).alias("name")).distinct()
-    by_start = one.select("type", "name", F.col("id").alias("a")).join(begins, ["type", "name"]).where("a <> b").select("a", "b")
+    by_start = starts.select("type", "name", F.col("id").alias("a")).join(begins.hint("merge"), ["type", "name"]).where("a <> b").select("a", "b")
 
     stem = F.regexp_replace("id", "^[^-]*-", "")
     stems = own.select("id", "type", stem.alias("name")).where("name <> ''")
-    by_part = _by_shared(stems.select("id", "type", F.array_distinct(F.split("name", "-")).alias("parts")), "n", "k = n and n >= 2")
+    by_part = _by_shared(stems.select("id", "type", F.array_distinct(F.split("name", "-")).alias("parts")).where(F.size("parts") >= 2), "n", "k = n")
     near = fuzzy_pairs(stems.where(F.char_length("name") >= 6), 2, raw=True)
     first_letter = F.substring(F.regexp_replace(F.col("a"), "^[^-]*-", ""), 1, 1) == F.substring(F.regexp_replace(F.col("b"), "^[^-]*-", ""), 1, 1)
     both = named.unionByName(by_token).unionByName(by_start).unionByName(by_part).unionByName(near.where(first_letter).select("a", "b"))
@@ -83,9 +121,9 @@ def same_entities(entities: DataFrame) -> DataFrame:
 
 def merged_catalog(entities: DataFrame) -> DataFrame:
     """(id, survivor) of every entity (id, type, name, aliases, first_seen) that is merged: the survivor is the one seen first, the least id of equals."""
-    groups = components(same_entities(entities)).join(entities.select("id", "first_seen"), "id")
+    groups = components(same_entities(entities, links=True)).join(entities.select("id", "first_seen").hint("merge"), "id")
     best = groups.groupBy("survivor").agg(F.min_by("id", F.struct(F.coalesce("first_seen", F.lit(-1)), "id")).alias("keep"))
-    return groups.join(best, "survivor").where("id <> keep").select("id", F.col("keep").alias("survivor"))
+    return groups.join(best.hint("merge"), "survivor").where("id <> keep").select("id", F.col("keep").alias("survivor"))
 
 
 def audit_pairs(entities: DataFrame, targets: DataFrame) -> DataFrame:

@@ -128,3 +128,32 @@ def test_colocated_equals_sets_and_shuffles_no_result(spark):
     got = colocated(spark.createDataFrame(mentioned, "s string, t long, entity_id string"), spark.createDataFrame(entities, "id string, location string, type string"), ["s", "t"])
     assert rows(got) == sorted(want, key=repr)
     assert "Exchange hashpartitioning(s" not in plan_of(got)
+
+
+def test_catalog_merges_broadcast_no_exploded_rows(spark, sf_dir):
+    from skein.operators.resolution import same_entities
+    from skein.plans.check_queries import _entities
+
+    plan = plan_of(same_entities(_entities(spark, sf_dir)))
+    assert re.search(r"SortMergeJoin \[[^\]]*_h#", plan) and not re.search(r"BroadcastHashJoin \[[^\]]*(piece|part|key|_h)#", plan)
+
+
+def test_token_links_have_the_components_of_all_pairs(spark, monkeypatch):
+    from skein.operators import resolution
+
+    def groups(pairs, ids):
+        label = {i: i for i in ids}
+        for _ in ids:
+            for a, b in pairs:
+                label[a] = label[b] = min(label[a], label[b])
+        return label
+
+    for seed, words, most, long in ((1, 90, 9, 24), (2, 200, 12, 8), (3, 30, 3, 24)):
+        r = random.Random(seed)
+        monkeypatch.setattr(resolution, "LONG_NAME", long)
+        sets = {f"{i:02d}": (r.choice("xy"), {f"w{r.randrange(words)}" for _ in range(r.randint(1, most))}) for i in range(60)}
+        alike = lambda a, b: len(a & b) == min(len(a), len(b)) if min(len(a), len(b)) <= 2 else 2 * len(a & b) >= min(len(a), len(b))
+        want = [(i, j) for i, (t, a) in sets.items() for j, (u, b) in sets.items() if i < j and t == u and alike(a, b)]
+        got = resolution._token_links(spark.createDataFrame([(i, t, sorted(s, reverse=True)) for i, (t, s) in sets.items()], "id string, type string, parts array<string>")).collect()
+        assert groups(got, sets) == groups(want, sets)
+        assert {tuple(sorted(x)) for x in got} <= set(want)
