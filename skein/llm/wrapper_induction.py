@@ -1,21 +1,24 @@
 """HTML extraction by wrapper induction: pages of a host are aligned by simple tree matching, and what varies is content.
 
-Every page of a host has a say. A page becomes a DOM tree; its blocks are those of its article or main elements, and
-what stands there is the article: only elements that by tag, role or class hold menus, headers, footers, sidebars,
-notices, adverts, forms, code or reader comments go. A page without such an element is matched instead.
+Every page of a host has a say. A page becomes a DOM tree, without the elements that by tag, role or class hold menus,
+headers, footers, sidebars, notices, adverts, forms, code or reader comments. Its texts are its article and main elements,
+each whole, and every block outside them. Pages that name such an element and pages that name none are two kinds, each
+with its own reference tree and counts.
 
 1. Layouts: like siblings are folded to one node, so a tree has few nodes, each with a path of signatures (tag and
-   classes). The host's commonest layout is its reference tree.
+   classes). A host's commonest layout of a kind is its reference tree.
 2. Alignment: simple tree matching of each page's tree with the reference: the most nodes that match in order. Since
    siblings differ after folding, a node can match one node only, and the best children are the heaviest rising
    subsequence; it is found without recursion in n log n.
 3. Constants: a text is template where it stands in every page whose tree matches its node, and the node matches in more
-   than half of the host's pages and in ``LEAST`` at least; every other text is slot. Pages count by content: copies
-   under other urls count once. A host with fewer than ``LEAST`` different pages has no constant texts.
-4. Every page is then parsed by itself: its blocks without template. So every slot is in its text, however short.
-
-Counting: a task keeps for each (host, path) the texts that all its pages so far share, and sends these with
-counts, as hashes; sums by (host, path, text) leave the constants. So a host with a third of all pages sends
+   than half of the host's pages of that kind and in ``LEAST`` at least; every other text is slot. Pages count by content:
+   copies under other urls count once. A host with fewer than ``LEAST`` different pages of a kind has no constant texts there.
+4. Every page is then parsed by itself. Its text is its article and main elements that are slots, whole, whatever repeats
+   inside; a page that names none has its blocks that are slots. So every such slot is in its text, however short. If all
+   that a page names is template, names and matching disagree: both these elements and the slots outside them stay.
+
+Counting: a task keeps for each (host, kind, path) the texts that all its pages so far share, and sends these with
+counts, as hashes; sums by (host, kind, path, text) leave the constants. So a host with a third of all pages sends
 small rows from each task. Reference trees and wrappers (hashes of a host's constants) are broadcast when counted to be
 few, and joined by host otherwise. Copies are left out of the counting by a broadcast of the rows to skip or to take, whichever
 are few, and by a join on the row's hash otherwise.
@@ -151,36 +154,63 @@ def _hashed(path: int, text: str) -> int:
     return int.from_bytes(blake2b(f"{path} {text}".encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-def blocks(node: Node, layout: dict[int, int] | None = None) -> list[tuple[int, str]]:
-    """Blocks below a node in order, each with its path from there. ``layout`` takes each path's parent, in order of first sight."""
-    out: list[tuple[int, str]] = []
+def _key(path: int, text: str, named: bool) -> int:
+    """Key of a text; whole articles are too long to be remembered."""
+    return (_hashed.__wrapped__ if named else _hashed)(path, text)
+
+
+def texts(root: Node, tops: list[Node], named: list[Node], layout: dict[int, int]) -> list[tuple[int, str, bool]]:
+    """Texts in order, each with its path and whether it is a named element: each of these whole, and the blocks outside them.
+
+    Nothing counts that is neither below ``tops`` nor in a named element. Paths begin at the kind's number at a top;
+    ``layout`` takes each path's parent, in order of first sight.
+    """
+    out: list[tuple[int, str, bool]] = []
     parts: list[str] = []
-    path = 0
+    lines: list[str] = []  # of the named element at hand
+    path, live, inside = int(bool(named)), False, False
+    top_ids, named_ids = {id(x) for x in tops}, {id(x) for x in named}
 
     def flush() -> None:
         text = _tidy("".join(parts))
         parts.clear()
-        if text:
-            out.append((path, text))
+        if text and inside:
+            lines.append(text)
+        elif text:
+            out.append((path, text, False))
 
-    todo: list = [node]
+    todo: list = [root]
     while todo:
         x = todo.pop()
-        if isinstance(x, int):
+        if isinstance(x, tuple):
             flush()
-            path = x
+            if inside and not x[2]:
+                out.append((path, "\n".join(lines), True))
+                lines.clear()
+            path, live, inside = x
         elif isinstance(x, str):
-            parts.append(x)
+            if live or inside:
+                parts.append(x)
         elif x.tag == "br":
             parts.append(" ")
-        elif not (x.out and x is not node):
-            if x.tag in _BLOCK:
+        elif not x.out:
+            top = id(x) in top_ids
+            if top or id(x) in named_ids or x.tag in _BLOCK:
                 flush()
-                todo.append(path)
+                todo.append((path, live, inside))
+            live = live or top
+            if x.tag in _BLOCK and (live or inside or id(x) in named_ids):
                 above, path = path, _hashed(path, x.sig)
-                if layout is not None:
-                    layout.setdefault(path, above)
-            todo.extend(reversed(x.kids))
+                layout.setdefault(path, above)
+            inside = inside or id(x) in named_ids
+            if top:  # outside an article a header element is the page's
+                for k in reversed(x.kids):
+                    if isinstance(k, Node) and k.tag == "header" and not inside:
+                        todo += [(path, True, False), k, (path, False, False)]
+                    else:
+                        todo.append(k)
+            else:
+                todo.extend(reversed(x.kids))
     flush()
     return out
 
@@ -209,7 +239,7 @@ def _heaviest_rising(places: list[int], weights: list[int]) -> list[int]:
     return out[::-1]
 
 
-def align(a: dict[int, int], b: dict[int, int]) -> set[int]:
+def align(a: dict[int, int], b: dict[int, int], root: int = 0) -> set[int]:
     """Simple tree matching of two folded trees, given as each path's parent in document order: the paths that match.
 
     Siblings have different signatures, so a node can match the node of the same path alone; of each matched pair's children
@@ -222,7 +252,7 @@ def align(a: dict[int, int], b: dict[int, int]) -> set[int]:
             kids.setdefault(above, []).append(path)
     size: dict[int, int] = {}
     chosen: dict[int, list[int]] = {}
-    order, todo = [], [0]
+    order, todo = [], [root]
     while todo:
         x = todo.pop()
         order.append(x)
@@ -232,7 +262,7 @@ def align(a: dict[int, int], b: dict[int, int]) -> set[int]:
         take = _heaviest_rising([place[k] for k in own], [size[k] for k in own])
         chosen[x] = [own[i] for i in take]
         size[x] = 1 + sum(size[k] for k in chosen[x])
-    out, todo = {0}, [0]
+    out, todo = {root}, [root]
     while todo:
         for k in chosen.get(todo.pop(), ()):
             out.add(k)
@@ -252,23 +282,21 @@ def _first_of(node: Node, tags: tuple[str, ...]) -> list[Node]:
     return out
 
 
-def content(text: str) -> tuple[bool, list[tuple[int, str]], dict[int, int]]:
-    """Whether the page says which element is its article; the blocks of its article or main elements, else of its body; their layout."""
+def content(text: str) -> tuple[bool, list[tuple[int, str, bool]], dict[int, int]]:
+    """Whether the page names its article; its texts (path, text, whether a named element); their layout."""
     root = parse(text)
     layout: dict[int, int] = {}
-    nodes = _first_of(root, ROOTS)
-    said = bool(nodes)
-    if not nodes:
-        nodes = _first_of(root, ("body",)) or [root]
-        for n in nodes:  # outside an article a header element is the page's
-            n.kids = [k for k in n.kids if not (isinstance(k, Node) and k.tag == "header")]
-    return said, [x for n in nodes for x in blocks(n, layout)], layout
+    named = _first_of(root, ROOTS)
+    found = texts(root, _first_of(root, ("body",)) or [root], named, layout)
+    return bool(named), found, layout
 
 
 def extract(text: str, constant: frozenset[int] = frozenset()) -> str:
     """The main text of a page."""
-    said, found, _ = content(text)
-    return "\n".join(t for path, t in found if said or not constant or _hashed(path, t) not in constant)
+    found = content(text)[1]
+    slot = [not constant or _key(*x) not in constant for x in found]
+    chosen = [x for x, s in zip(found, slot) if s and x[2]] or [x for x, s in zip(found, slot) if s or x[2]]
+    return "\n".join(t for _, t, _ in chosen if t)
 
 
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
@@ -291,26 +319,24 @@ def _different(pages: DataFrame) -> DataFrame:
 
 
 def _layouts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pages (_host, _html) without an article element: each host's layouts, how many pages have each, and the tree."""
-    state: dict[tuple[str, int], list] = {}
+    """Of pages (_host, _html): each host's layouts by kind, how many pages have each, and the tree."""
+    state: dict[tuple[str, bool, int], list] = {}
 
     def sent() -> pa.RecordBatch:
-        host, key = zip(*state)
+        host, named, key = zip(*state)
         n, trees = zip(*state.values())
         state.clear()
         longs = pa.list_(pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array([list(t) for t in trees], longs), pa.array([list(t.values()) for t in trees], longs)], ["_host", "_layout", "_n", "_paths", "_above"])
+        return pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(named, pa.bool_()), pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array([list(t) for t in trees], longs), pa.array([list(t.values()) for t in trees], longs)], ["_host", "_named", "_layout", "_n", "_paths", "_above"])
 
     held = 0
     for b in batches:
         for host, html in _pages(b):
-            said, _, tree = content(html)
-            if said:
-                continue
+            named, _, tree = content(html)
             key = int.from_bytes(blake2b(repr(list(tree)).encode(), digest_size=8).digest(), "little", signed=True)
-            now = state.get((host, key))
+            now = state.get((host, named, key))
             if now is None:
-                state[host, key] = [1, tree]
+                state[host, named, key] = [1, tree]
                 held += 1 + len(tree)
             else:
                 now[0] += 1
@@ -329,31 +355,29 @@ def _pages(batch: pa.RecordBatch) -> Iterator[tuple]:
 
 
 def _shared_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pages (_host, _html, _paths, _above: the reference tree): for each host and matched path the pages (_key null), and the keys in all of them."""
-    names = ["_host", "_path", "_key", "_n"]
-    state: dict[tuple[str, int | None], list] = {}
+    """Of pages (_host, _html, _paths, _above: the kinds' reference trees): for each host, kind and matched path the pages (_key null), and the keys in all of them."""
+    names = ["_host", "_named", "_path", "_key", "_n"]
+    state: dict[tuple[str, bool, int | None], list] = {}
 
     def sent() -> pa.RecordBatch:
-        rows = [(host, path, key, n) for (host, path), (n, keys) in state.items() for key in (None, *keys)]
+        rows = [(*at, key, n) for at, (n, keys) in state.items() for key in (None, *keys)]
         state.clear()
-        host, path, key, n = zip(*rows)
-        return pa.RecordBatch.from_arrays([pa.array(host, pa.string()), *(pa.array(x, pa.int64()) for x in (path, key, n))], names)
+        host, kind, path, key, n = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(kind, pa.bool_()), *(pa.array(x, pa.int64()) for x in (path, key, n))], names)
 
     held = 0
     for b in batches:
         for host, html, paths, above in _pages(b):
-            said, found, tree = content(html)
-            if said:
-                continue
-            matched = align(tree, dict(zip(paths, above)))
+            kind, found, tree = content(html)
+            matched = align(tree, dict(zip(paths, above)), int(kind))
             own: dict[int | None, set[int]] = {None: set()}  # no path: the page itself
-            for path, text in found:
+            for path, text, named in found:
                 if path in matched:
-                    own.setdefault(path, set()).add(_hashed(path, text))
+                    own.setdefault(path, set()).add(_key(path, text, named))
             for path, keys in own.items():
-                now = state.get((host, path))
+                now = state.get((host, kind, path))
                 if now is None:
-                    state[host, path] = [1, keys]
+                    state[host, kind, path] = [1, keys]
                     held += 1 + len(keys)
                 else:
                     held -= len(now[1])
@@ -371,15 +395,18 @@ def wrappers(pages: DataFrame) -> DataFrame:
     """(_host, _constant: keys of its constant blocks) of pages (_rid, _host, _cid, _html)."""
     different = _different(pages).select("_host", "_html")
     longs = "array<long>"
-    layouts = different.mapInArrow(_layouts, f"_host string, _layout long, _n long, _paths {longs}, _above {longs}").groupBy("_host", "_layout").agg(F.sum("_n").alias("_n"), F.any_value("_paths").alias("_paths"), F.any_value("_above").alias("_above"))
-    common = F.max_by(F.struct("_paths", "_above"), F.struct("_n", -F.col("_layout"))).alias("_tree")
-    trees = written(layouts.groupBy("_host").agg(common, F.sum("_n").alias("_n")).where(F.col("_n") >= LEAST).select("_host", "_tree._paths", "_tree._above"), "trees")
+    each = ["_host", "_named"]
+    layouts = different.mapInArrow(_layouts, f"_host string, _named boolean, _layout long, _n long, _paths {longs}, _above {longs}").groupBy(*each, "_layout").agg(F.sum("_n").alias("_n"), F.any_value(F.struct("_paths", "_above")).alias("_tree"))
+    common = layouts.groupBy(*each).agg(F.max_by("_tree", F.struct("_n", -F.col("_layout"))).alias("_tree"), F.sum("_n").alias("_n")).where(F.col("_n") >= LEAST)
+    # the kinds' paths differ, so one map holds both trees
+    both = common.groupBy("_host").agg(F.collect_list("_tree").alias("_trees"))
+    trees = written(both.select("_host", F.flatten("_trees._paths").alias("_paths"), F.flatten("_trees._above").alias("_above")), "trees")
     few = trees.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS and (trees.agg(F.sum(F.size("_paths"))).first()[0] or 0) <= BROADCAST_NODES
     with_tree = different.join(F.broadcast(trees) if few else trees, "_host")
-    sums = written(with_tree.mapInArrow(_shared_texts, "_host string, _path long, _key long, _n long").groupBy("_host", "_path", "_key").agg(F.sum("_n").alias("_n")).where(F.col("_n") >= LEAST), "shared")
-    total = sums.where("_path is null").select("_host", F.col("_n").alias("_pages"))
-    paths = sums.where("_path is not null and _key is null").select("_host", "_path", "_n").join(total, "_host").where("2 * _n > _pages").select("_host", "_path", "_n")
-    found = sums.where("_key is not null").join(paths, ["_host", "_path", "_n"])
+    sums = written(with_tree.mapInArrow(_shared_texts, "_host string, _named boolean, _path long, _key long, _n long").groupBy(*each, "_path", "_key").agg(F.sum("_n").alias("_n")).where(F.col("_n") >= LEAST), "shared")
+    total = sums.where("_path is null").select(*each, F.col("_n").alias("_pages"))
+    paths = sums.where("_path is not null and _key is null").select(*each, "_path", "_n").join(total, each).where("2 * _n > _pages").select(*each, "_path", "_n")
+    found = sums.where("_key is not null").join(paths, [*each, "_path", "_n"])
     return written(found.groupBy("_host").agg(F.array_sort(F.collect_list("_key")).alias("_constant")), "wrappers")
 
 

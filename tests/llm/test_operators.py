@@ -520,6 +520,46 @@ def test_wrapper_on_deep_and_wide_pages(spark):
     assert found[20] == "\n".join(["word"] * 200_000)
 
 
+@pytest.mark.parametrize("settings", [{}, {"HELD": 20}, {"BROADCAST_HOSTS": 0}])
+def test_wrapper_matches_pages_that_name_an_article(spark, settings, monkeypatch):
+    """Which of a page's article and main elements are its text is found by matching it with the other pages of its host."""
+    from skein.llm import wrapper_induction as W
+
+    for k, v in settings.items():
+        monkeypatch.setattr(W, k, v)
+    card = "<article class=card><h2>Our app</h2><p>Try it.</p></article>"
+    story = "<article class=story><h2>Introduction</h2><p>text {k}</p></article>"
+    hosts = [
+        # the same element in every page is template; what repeats inside one that varies is its text
+        ([f"<body><nav>n{{k}}</nav>{card}{story}</body>"] * 8, ["Introduction\ntext {k}"] * 8),
+        # one page that differs there makes it a slot of all
+        ([f"<body>{card}{story}</body>"] * 7 + [f"<body>{card.replace('Try', 'Buy')}{story}</body>"], ["Our app\nTry it.\nIntroduction\ntext {k}"] * 7 + ["Our app\nBuy it.\nIntroduction\ntext {k}"]),
+        # all that is named is template: it stays, and so do the slots outside it
+        ([f"<body>{card}<div><h1>Title {{k}}</h1><p>body {{k}}</p><p>Printed daily.</p></div></body>"] * 8, ["Our app\nTry it.\nTitle {k}\nbody {k}"] * 8),
+        # there are none
+        ([f"<body><nav>n{{k}}</nav>{card}<footer>f{{k}}</footer></body>"] * 8, ["Our app\nTry it."] * 8),
+        # too few pages to tell
+        ([f"<body>{card}{story}</body>"] * 4, ["Our app\nTry it.\nIntroduction\ntext {k}"] * 4),
+        # the pages that name an article and those that do not are counted apart
+        ([f"<body>{card}{story}</body>"] * 12 + ["<body><h1>T{k}</h1><p>Printed daily.</p></body>"] * 6, ["Introduction\ntext {k}"] * 12 + ["T{k}"] * 6),
+        # most pages of another order: the one node matches that stands in the order of the commonest layout
+        ([f"<body>{card}<main>m {{k}}</main></body>"] * 8 + [f"<body><main>m {{k}}</main>{card}</body>"] * 3, ["m {k}"] * 11),
+    ]
+    rows = [(100 * g + k, f"http://h{g}.example/{k}", html.replace("{k}", str(k))) for g, (pages, _) in enumerate(hosts) for k, html in enumerate(pages)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    kinds = {r._named for r in table.selectExpr("split(url, '/')[2] _host", "html _html").mapInArrow(W._layouts, "_host string, _named boolean, _layout long, _n long, _paths array<long>, _above array<long>").collect()}
+    assert kinds == {True, False}
+    found = {r.page_id: r.text for r in W.extract_pages(table).collect()}
+    assert found == {100 * g + k: text.replace("{k}", str(k)) for g, (_, expected) in enumerate(hosts) for k, text in enumerate(expected)}
+
+
+def test_simple_tree_matching_of_named_articles():
+    from skein.llm.wrapper_induction import align, content
+
+    a, b = (content(h)[2] for h in ("<body><h1>x</h1><article><p>1</p><ul><li>q</ul></article></body>", "<body><article><p>2</p><ul><li>q<li>r</ul><h2>y</h2></article><h1>z</h1></body>"))
+    assert len(align(a, b, 1)) == 6  # the root, body, article, p, ul and li, without the h1 of another place
+
+
 GOLD = [
     ("<body><nav>n</nav><article><h2>Introduction</h2><p>text {k}</p></article></body>", "Introduction\ntext {k}"),
     ("<body><article><div class='ad-hoc'>made {k}</div><section id=share-prices><p>up {k}</p></section></article></body>", "made {k}\nup {k}"),
